@@ -49,7 +49,7 @@ def deletion_vectors(messages: DataFrame, order: tuple[str, ...] = ("delivered_a
     """``file, block, words``: per file and block of rows a bitmap (1,024 longs) of the rows that aren't first deliveries."""
     first = deliveries(messages, order).filter("n_deliveries > 1").select("key", F.col("ord.file").alias("f"), F.col("ord.row").alias("r"))
     rest = places(messages, list(order)).select("key", F.col("ord.file").alias("file"), F.col("ord.row").alias("row")).join(first, "key").filter("file <> f OR row <> r")
-    word = rest.groupBy("file", F.shiftright("row", BLOCK_BITS).alias("block"), F.shiftright(F.col("row").bitwiseAND((1 << BLOCK_BITS) - 1), 6).cast("int").alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("row").bitwiseAND(63).cast("int"))).alias("bits"))
+    word = rest.groupBy("file", F.shiftright("row", BLOCK_BITS).alias("block"), F.shiftright(F.col("row").bitwiseAND((1 << BLOCK_BITS) - 1), 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(row & 63 AS int)))").alias("bits"))
     # at most 1,024 words a block: the group is bounded
     return word.groupBy("file", "block").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m")).select(
         "file", "block", F.transform(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words")
