@@ -1 +1 @@
-"""Part of tailrace: functions."""
+"""Scalar functions as Column builders."""

@@ -1 +1,3 @@
-"""Part of tailrace: plans."""
+"""The core queries: importing this package fills the registry in ``core``."""
+
+from tailrace.plans import relational, texts  # noqa: F401
