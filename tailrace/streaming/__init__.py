@@ -1 +1 @@
-"""Part of tailrace: streaming."""
+"""The pipeline's stages over streams of messages."""
