@@ -14,7 +14,7 @@ A mark of the cut (an ellipsis and the like) is put aside first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tailrace.session import materialize
@@ -26,6 +26,8 @@ ENOUGH = 3
 #: A cut word stands at ends at most this often, against the longer words it may have been.
 PIECE_SHARE = 0.05
 LONG_LINE = 8
+#: A mark of the cut lies within so many characters of the end.
+TAIL = 40
 #: Ends that copies of one cut text may add up to.
 COPIES = 5
 
@@ -35,38 +37,52 @@ _ENDED = r"[.!?][\"'”’)\]*_]*$"
 _OTHER = r"^(?:\s*(?:[-*•+–—]|\d{1,3}[.)])\s|\s*\d{1,2}:\d{2}\b|    |\s*#|https?://)"
 
 def _word_array(line: str) -> str:
-    """SQL for the words of a line: letters, or numbers with their inner punctuation, every digit as 0; sentence ends as ``.``."""
-    masked = f"regexp_replace(lower({line}), '\\\\p{{N}}', '0')"
-    ends = f"regexp_replace({masked}, '(?<=[\\\\p{{L}}0%)”\"])[.!?]+(?=\\\\s|$)', ' . ')"
-    tokens = f"regexp_replace({ends}, '(?<=0)[.,:/-](?=0)', '\\u0001')"
-    apart = f"regexp_replace({tokens}, '[^\\\\p{{L}}0.\\u0001]+|(?<! )\\\\.|\\\\.(?! )', ' ')"
-    return f"filter(split({apart}, ' '), x -> x <> '')"
+    """SQL for the words of a line, digits as 0 and the punctuation inside numbers as _; sentence ends are words ``.``, and an empty word may stand at either end."""
+    masked = f"translate(lower({line}), '123456789', '000000000')"
+    numbers = f"regexp_replace({masked}, '(?<=0)[.,:/-](?=0)', '_')"
+    return f"split(regexp_replace({numbers}, '[.!?]+(?=\\\\s|$)', ' . '), '[^\\\\p{{L}}0._]+')"
+
+
+def _kind(line: Column) -> Column:
+    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(F.substring(line, 1, 16).rlike(_OTHER), "other").when(spaces >= LONG_LINE - 1, "prose").otherwise("short")
+
+
+def _once(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with ``columns`` computed once per row: an explode of one element keeps the optimizer from repeating them wherever they are named."""
+    for c in columns:
+        df = df.select(*[x for x in df.columns if x != c], F.explode(F.array(c)).alias(c))
+    return df
 
 
 def truncation_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(trigram counts ``kind, a, b, c, inside, ends``, last trigrams ``doc_id, kind, a, b, c, marked, ended``)."""
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace("text", r"[\s\x{00A0}]+$", "").alias("text")).filter("text <> ''")
-    cut = raw.select("doc_id", F.regexp_replace("text", _MARK, "").alias("body"), F.col("text").rlike(_MARK).alias("marked")).filter("body <> ''")
-    lines = (
-        cut.select("doc_id", "marked", F.filter(F.split("body", "\r?\n"), lambda x: x.rlike(r"[\p{L}\p{N}]")).alias("lines"))
-        .select("doc_id", "marked", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
-        .withColumn(
-            "kind",
-            F.when((F.col("pos") == 0) & (F.col("n_lines") > 1) & ~F.col("line").rlike(_ENDED), "title")
-            .when(F.col("line").rlike(_OTHER), "other")
-            .when(F.size(F.split(F.trim("line"), " ")) >= LONG_LINE, "prose")
-            .otherwise("short"),
-        )
-    )
-    words = lines.select("doc_id", "marked", "kind", (F.col("pos") == F.col("n_lines") - 1).alias("last"), F.col("line").rlike(_ENDED).alias("ended"), F.expr(_word_array("line")).alias("w"))
-    runs = F.arrays_zip(*(F.expr(e).alias(n) for n, e in (("a", "concat(array('^', '^'), w)"), ("b", "concat(array('^'), w)"), ("c", "w"), ("d", "concat(slice(w, 2, greatest(size(w), 1)), array('|'))"))))
-    shaped = words.select("kind", F.inline(runs).alias("a", "b", "c", "d"))
-    good = shaped.filter("c IS NOT NULL AND c <> '.' AND d IS NOT NULL")
-    start = lambda x: F.when(F.col(x) == ".", "^").otherwise(F.col(x))
-    at_end = F.col("d").isin("|", ".").cast("long")
-    counts = good.groupBy("kind", F.when(F.col("b") == ".", "^").otherwise(start("a")).alias("a"), start("b").alias("b"), "c").agg(F.sum(1 - at_end).alias("inside"), F.sum(F.when(F.col("d") == "|", 1).otherwise(0)).cast("long").alias("ends"))
-    final = words.filter("last").select("doc_id", "kind", "marked", "ended", F.filter("w", lambda x: x != ".").alias("v"))
-    last = final.select("doc_id", "kind", "marked", "ended", F.coalesce(F.try_element_at("v", F.lit(-3)), F.lit("^")).alias("a"), F.coalesce(F.try_element_at("v", F.lit(-2)), F.lit("^")).alias("b"), F.try_element_at("v", F.lit(-1)).alias("c")).filter("c IS NOT NULL")
+    """(trigram counts ``kind, a, b, c, inside, ends``, last trigrams ``doc_id, kind, a, b, c, marked, ended``).
+
+    The counting plan keeps to expressions that Spark compiles: no lambda runs per word.
+    """
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim("text", F.lit(" \t\r\n\f\u00a0")).alias("text")).filter("text <> ''")
+    whole = _once(whole, "text")
+    # only the last characters are searched for a mark: the patterns would be tried at every place of a text
+    tail = F.right("text", F.lit(TAIL))
+    bare = F.rtrim(F.concat(F.substr("text", F.lit(1), F.greatest(F.length("text") - TAIL, F.lit(0))), F.regexp_replace(tail, _MARK, "")), F.lit(" \t\r\n\f\u00a0"))
+    cut = _once(whole.select("doc_id", "text", tail.rlike(_MARK).alias("marked")), "marked")
+    cut = _once(cut.select("doc_id", "marked", F.when(F.col("marked"), bare).otherwise(F.col("text")).alias("body")), "body")
+
+    lines = cut.select((F.instr("body", "\n") > 0).alias("several"), F.posexplode_outer(F.split("body", "\n")).alias("pos", "line"))
+    title = F.col("several") & (F.col("pos") == 0) & ~F.right("line", F.lit(8)).rlike(_ENDED)
+    words = lines.select(F.when(title, "title").otherwise(_kind(F.col("line"))).alias("kind"), F.expr(_word_array("line")).alias("w"))
+    # outer: the plain explode would be given a filter that cuts every line a second time
+    at = words.select("kind", "w", F.posexplode_outer("w").alias("i", "c")).filter("c <> '' AND c <> '.'")
+    a, b, d = F.get("w", F.col("i") - 2), F.get("w", F.col("i") - 1), F.get("w", F.col("i") + 1)
+    fresh = b.isNull() | b.isin("", ".")  # a sentence or line begins here
+    shaped = at.select("kind", F.when(fresh | a.isNull() | a.isin("", "."), "^").otherwise(a).alias("a"), F.when(fresh, "^").otherwise(b).alias("b"), "c", (d.isNull() | (d == "")).alias("end"), (d == ".").alias("stop"))
+    counts = shaped.groupBy("kind", "a", "b", "c").agg(F.count_if(~F.col("end") & ~F.coalesce("stop", F.lit(False))).alias("inside"), F.count_if("end").alias("ends"))
+
+    last_line = F.substring_index("body", "\n", -1)
+    wordy = F.try_element_at(F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]")), F.lit(-1))
+    final = cut.select("doc_id", "marked", F.when(last_line.rlike(r"[\p{L}\p{N}]"), last_line).otherwise(wordy).alias("line"))
+    final = _once(final, "line").select("doc_id", "marked", _kind(F.col("line")).alias("kind"), F.right(F.rtrim("line"), F.lit(8)).rlike(_ENDED).alias("ended"), F.filter(F.expr(_word_array("line")), lambda x: (x != "") & (x != ".")).alias("v"))
+    last = _once(final, "v").select("doc_id", "kind", "marked", "ended", F.coalesce(F.try_element_at("v", F.lit(-3)), F.lit("^")).alias("a"), F.coalesce(F.try_element_at("v", F.lit(-2)), F.lit("^")).alias("b"), F.try_element_at("v", F.lit(-1)).alias("c")).filter("c IS NOT NULL")
     return counts, last
 
 
@@ -87,7 +103,7 @@ def judged(docs: DataFrame) -> DataFrame:
         open_ = _with_counts(open_, counts, keys, name)
     # longer words in the place of the last one: (b, longer) and, whatever stands before, (longer)
     pairs = counts.groupBy("b", F.col("c").alias("longer")).agg(F.sum(F.col("inside") + F.col("ends")).alias("n"))
-    piece = open_.filter(~F.col("c").rlike("^0+$"))
+    piece = open_.filter(~F.col("c").rlike("^[0_]+$"))
     after = piece.select("b", "c").distinct().join(pairs, "b").filter("length(longer) > length(c) AND startswith(longer, c)").groupBy("b", "c").agg(F.sum("n").alias("longer2"))
     single = pairs.groupBy("longer").agg(F.sum("n").alias("n"))
     heads = single.select("n", F.explode(F.expr("transform(sequence(1, least(length(longer) - 1, 24)), k -> substring(longer, 1, k))")).alias("c")).filter("c <> ''").groupBy("c").agg(F.sum("n").alias("longer1"))
@@ -104,8 +120,8 @@ def judged(docs: DataFrame) -> DataFrame:
     prose = F.col("kind") == "prose"
     ends = F.when(known("i3", "e3"), F.col("e3")).when(known("i2", "e2"), F.col("e2")).otherwise(F.col("e1")) - 1
     # prose without a stop is cut unless its end is an end elsewhere too, more often than copies of the same text explain
-    in_sentence = F.coalesce(by_kind < END_SHARE, prose) | (prose & (ends < COPIES))
-    digits = F.col("c").rlike("^0+$")
+    in_sentence = F.coalesce(by_kind < END_SHARE, prose) | (prose & (ends < COPIES)) | (F.col("marked") & (F.col("kind") == "short"))
+    digits = F.col("c").rlike("^[0_]+$")
     in_word = ~digits & (
         ((F.col("i2a") == 0) & (F.col("longer2") > 0) & (F.col("e2a") - 1 <= PIECE_SHARE * F.col("longer2")))
         | ((F.col("i1a") == 0) & (F.col("longer1") > 0) & (F.col("e1a") - 1 <= PIECE_SHARE * F.col("longer1")))
