@@ -1 +1 @@
-"""Part of tailrace: sources."""
+"""Readers and writers of the pipeline's files."""
