@@ -136,5 +136,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_WORDS = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+def _runs(name: str, key: str, text: str, table: str, k: int) -> str:
+    """A CTE of the distinct runs of ``k`` words of each text."""
+    w = _WORDS.format(x=text)
+    return f"{name} AS (SELECT DISTINCT {key}, array_to_string(w[i:i + {k - 1}], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - {k - 2})) AS i FROM (SELECT {key}, {w} AS w FROM {table} WHERE {text} IS NOT NULL)))"
+
+
+_FOLDED = """SELECT id, source_id, no, regexp_replace(lower(line), '[^\\p{L}]', '', 'g') AS k, line
+ FROM (SELECT id, source_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS no FROM source_documents WHERE source_id IS NOT NULL)"""
+_RECURRING = f"""l AS (SELECT * FROM ({_FOLDED}) WHERE k <> '' AND NOT regexp_matches(line, '^\\s*#')),
+ n AS (SELECT source_id, count(*) AS m FROM source_documents GROUP BY source_id), g AS (SELECT source_id, k FROM l JOIN n USING (source_id) GROUP BY source_id, k HAVING count(DISTINCT id) >= 4 AND count(DISTINCT id) >= 0.2 * max(m))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that can be expressed in it and end in time on whole tables; the others are held against brute force in the tests."""
+    return {
+        "p1_found": f"""WITH {_runs("r", "example_id", "text", "labeled_examples", 5)}, n AS (SELECT example_id, count(*) AS n FROM r GROUP BY example_id),
+ b AS (SELECT x.example_id AS a, y.example_id AS b, count(*) AS k FROM r x JOIN r y ON x.run = y.run AND x.example_id < y.example_id GROUP BY ALL)
+ SELECT a AS example_id_a, b AS example_id_b FROM b JOIN n x ON x.example_id = a JOIN n y ON y.example_id = b JOIN labeled_examples s ON s.example_id = a JOIN labeled_examples t ON t.example_id = b
+ WHERE k >= 0.7 * (x.n + y.n - k) AND (s.split = 'train') <> (t.split = 'train')""",
+        "p2_found": """WITH RECURSIVE e AS (SELECT DISTINCT incident_id, lower(trim(org)) AS org FROM labeled_examples WHERE incident_id IS NOT NULL AND org IS NOT NULL AND lower(trim(org)) NOT IN ('', 'unknown')),
+ p AS (SELECT DISTINCT x.org AS a, y.org AS b FROM e x JOIN e y USING (incident_id)), c AS (SELECT a, b FROM p UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a)
+ SELECT a AS org_a, b AS org_b FROM c WHERE a < b""",
+        "p3_found": f"WITH {_RECURRING} SELECT id, no AS line_no FROM l JOIN g USING (source_id, k)",
+        "p3_stripped": f"""WITH {_RECURRING}, gone AS (SELECT id, list(no) AS x FROM l JOIN g USING (source_id, k) GROUP BY id)
+ SELECT s.id, source_id, CASE WHEN x IS NULL THEN body ELSE array_to_string(list_filter(string_split(body, chr(10)), lambda line, i: NOT list_contains(x, i)), chr(10)) END AS body FROM source_documents s LEFT JOIN gone USING (id)""",
+        "p8_found": f"WITH {_runs('d', 'doc_id', 'text', 'documents', 13)}, {_runs('i', 'item_id', 'text', 'eval_items', 13)} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
+    }
