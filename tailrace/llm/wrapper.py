@@ -36,7 +36,7 @@ from tailrace.session import materialize
 #: Share of a source's pages from which a node is constant there by itself.
 CONSTANT_SHARE = 0.2
 #: Share from which it is constant if it is also this many times as frequent as in the whole corpus.
-LOCAL_SHARE, LIFT = 0.02, 3.0
+LOCAL_SHARE, LIFT, LOCAL_PAGES = 0.02, 3.0, 5
 #: Share of all pages from which a sentence, the opening of an item or of a title is a constant of the corpus.
 COMMON_SHARE = 0.001
 MIN_PAGES = 3
@@ -126,7 +126,7 @@ def label_page(source: str | None, title: str | None, nodes: list[Node], model:
     for n in nodes:
         if n.kind == H:
             out.append(False)
-        elif n.key in local:
+        elif n.key in local and not (n.kind == L and lead(n.text) in model.item_leads):
             out.append(True)
         elif n.kind == P:
             if n.key in model.common:
@@ -237,7 +237,7 @@ def _count(wanted):
                         for k in last_sentence(n.text):
                             after[source, k] += 1
                     if n.kind == L:
-                        if parent in (H, B):
+                        if parent in (H, B) and n.key not in local.get(source, ()):
                             words["item", lead(n.text)] += 1
                             marked["item", lead(n.text)] += parent == H
                     else:
@@ -319,7 +319,7 @@ def _model(rows, pages: dict, total: int) -> Model:
         if r["what"] == "node" and r["source_id"] is not None and r["n"] >= MIN_PAGES:
             share = r["n"] / max(counted[r["source_id"]], MIN_SHARE_OF_PAGES * pages[r["source_id"]])
             elsewhere = everywhere[r["node"]] / total
-            if share >= CONSTANT_SHARE or share >= LOCAL_SHARE and share >= LIFT * elsewhere:
+            if share >= CONSTANT_SHARE or r["n"] >= LOCAL_PAGES and share >= LOCAL_SHARE and share >= LIFT * elsewhere:
                 local.setdefault(r["source_id"], set()).add(r["node"] & 0xFFFFFFFFFFFFFFFF)
     common = {k for k, n in everywhere.items() if n >= max(MIN_PAGES, COMMON_SHARE * total) and sources[k] >= 2}
     # a last sentence that always ends one and the same line is that line's, not a constant of notices
