@@ -95,13 +95,17 @@ class NearDuplicates:
         signed = materialize(slim.mapInArrow(_sign(model), _SIGNED), "signed")
         #: ``id, digest``: the class of each document.
         self.members = signed.select("id", "digest").distinct()
-        banded = signed.dropDuplicates(["digest"]).select("digest", F.posexplode("bands").alias("pos", "h")).select("digest", F.xxhash64("pos", "h").alias("band"))
+        # bands travel with 60 bits of the digest; classes that share them are all checked
+        short = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+        banded = signed.select(short.alias("k"), F.explode("bands").alias("band")).distinct()
         if stored is not None:
-            by_class = _stored_bands(stored).join(self.members, "id").select("digest", "band")
+            by_class = _stored_bands(stored).join(self.members.select("id", short.alias("k")), "id").select("k", "band")
             banded = banded.unionByName(by_class.distinct())
-        candidates = pairs_by_key(banded, "band", "digest")
-        texts = signed.select("digest", "text").dropDuplicates(["digest"])
-        both = candidates.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+        candidates = pairs_by_key(banded, "band", "k")
+        texts = signed.select("digest", "text").dropDuplicates(["digest"]).withColumn("k", short)
+        x = texts.select(F.col("k").alias("a"), F.col("digest").alias("digest_a"), F.col("text").alias("text_a"))
+        y = texts.select(F.col("k").alias("b"), F.col("digest").alias("digest_b"), F.col("text").alias("text_b"))
+        both = candidates.join(x, "a").join(y, "b").select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), "text_a", "text_b")
         #: ``a, b, likeness`` between classes.
         self.links = materialize(both.mapInArrow(_check(least), "a string, b string, likeness double"), "links")
 
