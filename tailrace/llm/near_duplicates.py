@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tailrace.llm.bagminhash import bag_bands
 from tailrace.llm.words import likeness, shingle_hashes, text_digest, words
-from tailrace.llm.wrapper import induce, label_page, page_nodes
+from tailrace.llm.wrapper import induce, label_page, page_nodes, per_block
 from tailrace.session import materialize
 
 #: 40 bands of 4 registers: a pair of likeness 0.7 is missed with probability (1 - 0.7 ** 4) ** 40, about 2e-5.
@@ -87,12 +87,11 @@ class NearDuplicates:
     """
 
     def __init__(self, docs: DataFrame, least: float = 0.8, stored: DataFrame | None = None, pages: bool = True):
-        spark = docs.sparkSession
         title = F.col("title") if "title" in docs.columns else F.lit(None).cast("string").alias("title")
         source = F.col("source_id") if "source_id" in docs.columns else F.lit(None).cast("string").alias("source_id")
         slim = docs.select(F.col("id").cast("string").alias("id"), source, title, "body")
-        model = spark.sparkContext.broadcast(induce(slim)) if pages else None
-        signed = materialize(slim.mapInArrow(_sign(model), _SIGNED), "signed")
+        signed = per_block(slim, induce(slim), lambda part, model: part.mapInArrow(_sign(model), _SIGNED)) if pages else slim.mapInArrow(_sign(None), _SIGNED)
+        signed = materialize(signed, "signed")
         #: ``id, digest``: the class of each document.
         self.members = signed.select("id", "digest").distinct()
         # bands travel with 60 bits of the digest; classes that share them are all checked

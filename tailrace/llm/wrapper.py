@@ -11,23 +11,25 @@ learned from runs whose parent is certain. Sentences that stand unchanged in
 pages of several sources are constants of all templates; those that always
 follow report lines are the report's own.
 
-Per-page alignment with the ordered template is simple tree matching
-(``tree_match``), which labels the bare lines between matched constants.
+The constants of a source, in the order of their mean place, are its wrapper. The head of each page (all
+before its first certain line) is aligned with it by simple tree matching; what is the title of a page that
+doesn't say so is looked for below the last node that matches.
 
-Pass 1 counts nodes per task and source, pass 2 labels; no text is shuffled.
-What is broadcast has shares of pages as thresholds and so holds at most
-(lines per page) / share nodes for each source; its size is checked.
+Passes 1 and 2 count nodes per task and source, pass 3 labels; no text is shuffled. What is broadcast has
+shares of pages as thresholds and so holds at most (lines per page) / share nodes for each source. Where all
+sources together have more than ``MAX_MODEL_ROWS``, passes 2 and 3 run over blocks of sources.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tailrace.llm.lines import ITEM, SENTENCES, B, C, H, L, P, T, fold, fold_lines, kind_of, lead
 from tailrace.llm.repeated_lines import Summary
@@ -99,7 +101,7 @@ _CERTAIN = (H, T, C, P, L)
 
 def countable(nodes: list[Node]) -> tuple[set[int], set[int]]:
     """The distinct nodes of a page that may be constants of its source, and those that may be constants of the corpus."""
-    local = {n.key for n in nodes if n.kind in (P, L, C, T)}
+    local = {n.key for n in nodes if n.kind != H}
     common = {n.key for n in nodes if n.kind == P} | {k for n in nodes if n.kind == P for k in last_sentence(n.text)}
     return local, common
 
@@ -113,6 +115,7 @@ def last_sentence(text: str) -> tuple[int, ...]:
 @dataclass
 class Model:
     local: dict[str | None, frozenset[int]] = field(default_factory=dict)
+    wrapper: dict[str | None, list[int]] = field(default_factory=dict)
     common: frozenset[int] = frozenset()
     signoffs: frozenset[int] = frozenset()
     item_leads: frozenset[str] = frozenset()
@@ -122,11 +125,12 @@ class Model:
 def label_page(source: str | None, title: str | None, nodes: list[Node], model: Model) -> list[bool]:
     """For each node whether it is template (True) or content."""
     local = model.local.get(source, frozenset())
+    own = fold(title) if title else b""
     out: list[bool | None] = []
     for n in nodes:
         if n.kind == H:
             out.append(False)
-        elif n.key in local and not (n.kind == L and lead(n.text) in model.item_leads):
+        elif n.key in local and not (own and n.folded == own) and not (n.kind == L and lead(n.text) in model.item_leads):
             out.append(True)
         elif n.kind == P:
             if n.key in model.common:
@@ -144,15 +148,16 @@ def label_page(source: str | None, title: str | None, nodes: list[Node], model:
         elif out[i] is None:
             opening = lead(n.text)
             out[i] = opening not in model.item_leads and not (parent_is_content and opening not in model.title_leads)
-    own = fold(title) if title else b""
     head = next((i for i, v in enumerate(out) if v is False), len(out))
     if own:
         for i, n in enumerate(nodes):
             if out[i] is None and n.folded == own:
                 out[i] = False
                 break
-    else:
-        for i in range(head - 1, -1, -1):
+    elif head:
+        _, partner = tree_match([n.key for n in nodes[:head]], model.wrapper.get(source, []))
+        below = max((i for i, p in enumerate(partner) if p >= 0), default=-1)
+        for i in range(head - 1, below, -1):
             if out[i] is None:
                 if lead(nodes[i].text) in model.title_leads and not ITEM.match(nodes[i].text):
                     out[i] = False
@@ -211,6 +216,7 @@ def _count(wanted):
         counts: Counter = Counter()
         after: Counter = Counter()
         words: Counter = Counter()
+        places: Counter = Counter()
         marked: Counter = Counter()
         counted: Counter = Counter()
         ends: set[int] = set()
@@ -229,9 +235,10 @@ def _count(wanted):
                 counts.update((source, k) for k in seen)
                 ends.update(k for k in shared - mine if k in common)
                 before = parent = ""
-                for n in nodes:
-                    if n.key in seen and before in _CERTAIN:
-                        after[source, n.key] += 1
+                for i, n in enumerate(nodes):
+                    if n.key in seen:
+                        after[source, n.key] += before in _CERTAIN
+                        places[source, n.key] += 1000 * i // len(nodes)
                         seen.discard(n.key)
                     if n.kind == P and n.key in common:
                         for k in last_sentence(n.text):
@@ -244,6 +251,7 @@ def _count(wanted):
                         parent = n.kind
                     before = n.kind
         yield _rows([("node", s, _signed(k), "last" if k in ends else None, n, after[s, k]) for (s, k), n in counts.items()])
+        yield _rows([("place", s, _signed(k), None, n, 0) for (s, k), n in places.items()])
         yield _rows([(what, None, None, w, n, marked[what, w]) for (what, w), n in words.items()])
         yield _rows([("counted", s, None, None, n, 0) for s, n in counted.items()])
 
@@ -276,63 +284,82 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("id").cast("string").alias("id"), "source_id", F.col("title"), "body")
 
 
-def induce(docs: DataFrame) -> Model:
-    """The templates of all sources, from every page of ``docs``."""
+def _block(blocks: int, block: int) -> Column:
+    """The sources of a block; rows without a source are in the first."""
+    return F.coalesce(F.pmod(F.xxhash64("source_id"), F.lit(blocks)), F.lit(0)) == block
+
+
+def _unsigned(k: int) -> int:
+    return k & 0xFFFFFFFFFFFFFFFF
+
+
+def induce(docs: DataFrame) -> list[Model]:
+    """The templates of all sources, from every page of ``docs``: one model per block of sources, nearly always a single one."""
     slim = _slim(docs)
     spark = docs.sparkSession
     first = materialize(slim.select("source_id", "body").mapInArrow(_summarise, _ROWS), "nodes")
-    pages = {r["source_id"]: r["n"] for r in first.filter("what = 'pages'").groupBy("source_id").agg(F.sum("n").alias("n")).collect()}
-    total = sum(pages.values())
-    lost = first.filter("node IS NULL AND what <> 'pages'").groupBy("what", "source_id").agg(F.sum("m").alias("lost"))
-    sizes = spark.createDataFrame([(s, n) for s, n in pages.items() if s is not None], "source_id string, pages bigint")
+    sizes = materialize(first.filter("what = 'pages'").groupBy("source_id").agg(F.sum("n").alias("pages")), "pages")
+    total = sizes.agg(F.sum("pages")).head()[0] or 0
+    enough = float(max(MIN_PAGES, COMMON_SHARE * total))
+    lost = first.filter("node IS NULL AND what <> 'pages'").groupBy("what", F.col("source_id").alias("s")).agg(F.sum("m").alias("lost")).withColumnRenamed("what", "w")
     counted = first.filter("node IS NOT NULL").groupBy("what", "source_id", "node").agg(F.sum("n").alias("n"))
-    counted = counted.join(lost.withColumnRenamed("what", "w").withColumnRenamed("source_id", "s"), F.expr("what = w AND source_id <=> s")).join(sizes, "source_id", "left")
-    least = F.when(F.col("what") == "common", F.lit(float(max(MIN_PAGES, COMMON_SHARE * total)))).otherwise(F.greatest(F.lit(float(MIN_PAGES)), F.col("pages") * LOCAL_SHARE))
-    candidates = counted.withColumn("least", least).filter("n + lost >= least").select("what", "source_id", "node").collect()
-    if len(candidates) > MAX_MODEL_ROWS:
-        raise ValueError(f"{len(candidates)} template nodes; induce over sources in blocks")
-    local: dict = {}
-    common: set = set()
-    for r in candidates:
-        (common if r["what"] == "common" else local.setdefault(r["source_id"], set())).add(r["node"] & 0xFFFFFFFFFFFFFFFF)
-    wanted = spark.sparkContext.broadcast((local, common))
-    second = materialize(slim.select("source_id", "title", "body").mapInArrow(_count(wanted), _ROWS).groupBy("what", "source_id", "node", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "node-counts")
-    return _model(second.filter("what IN ('node', 'counted') OR n >= " + str(max(MIN_PAGES, COMMON_SHARE * total))).collect(), pages, total)
-
-
-def _model(rows, pages: dict, total: int) -> Model:
-    """The model from exact counts; ``pages`` of sources that were all copies keep no local template."""
-    counted = {r["source_id"]: r["n"] for r in rows if r["what"] == "counted"}
-    everywhere: Counter = Counter()
-    after: Counter = Counter()
-    sources: Counter = Counter()
-    last: set[int] = set()
-    for r in rows:
-        if r["what"] == "node":
-            if r["word"] == "last":
-                last.add(r["node"])
-            everywhere[r["node"]] += r["n"]
-            after[r["node"]] += r["m"]
-            sources[r["node"]] += 1
-    local: dict = {}
-    for r in rows:
-        if r["what"] == "node" and r["source_id"] is not None and r["n"] >= MIN_PAGES:
-            share = r["n"] / max(counted[r["source_id"]], MIN_SHARE_OF_PAGES * pages[r["source_id"]])
-            elsewhere = everywhere[r["node"]] / total
-            if share >= CONSTANT_SHARE or r["n"] >= LOCAL_PAGES and share >= LOCAL_SHARE and share >= LIFT * elsewhere:
-                local.setdefault(r["source_id"], set()).add(r["node"] & 0xFFFFFFFFFFFFFFFF)
-    common = {k for k, n in everywhere.items() if n >= max(MIN_PAGES, COMMON_SHARE * total) and sources[k] >= 2}
+    counted = counted.join(lost, F.expr("what = w AND source_id <=> s")).join(sizes, "source_id", "left")
+    least = F.when(F.col("what") == "common", enough).otherwise(F.greatest(F.lit(float(MIN_PAGES)), F.col("pages") * LOCAL_SHARE))
+    candidates = materialize(counted.filter(F.col("n") + F.col("lost") >= least).select("what", "source_id", "node"), "node-candidates")
+    blocks = candidates.count() // MAX_MODEL_ROWS + 1
+    common = {_unsigned(r["node"]) for r in candidates.filter("what = 'common'").toLocalIterator()}
+
+    def counts(block: int) -> DataFrame:
+        local: dict = {}
+        for r in candidates.filter((F.col("what") == "local") & _block(blocks, block)).toLocalIterator():
+            local.setdefault(r["source_id"], set()).add(_unsigned(r["node"]))
+        wanted = spark.sparkContext.broadcast((local, common))
+        pages = slim.filter(_block(blocks, block)) if blocks > 1 else slim
+        return materialize(pages.select("source_id", "title", "body").mapInArrow(_count(wanted), _ROWS).groupBy("what", "source_id", "node", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), f"node-counts-{block}")
+
+    parts = [counts(b) for b in range(blocks)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    nodes = every.filter("what = 'node'")
+    over_all = materialize(nodes.groupBy("node").agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_m"), F.count("*").alias("sources"), F.max("word").alias("last")), "nodes-of-all")
     # a last sentence that always ends one and the same line is that line's, not a constant of notices
-    common = {k for k in common if not (k in last and after[k] >= 0.5 * everywhere[k])}
-    signoffs = {k & 0xFFFFFFFFFFFFFFFF for k in common if after[k] >= SIGNOFF_RATE * everywhere[k]}
-    titles = sum(r["n"] for r in rows if r["what"] == "title") or 1
-    return Model(
-        {s: frozenset(v) for s, v in local.items()},
-        frozenset(k & 0xFFFFFFFFFFFFFFFF for k in common),
-        frozenset(signoffs),
-        frozenset(r["word"] for r in rows if r["what"] == "item" and r["n"] < 2 * r["m"]),
-        frozenset(r["word"] for r in rows if r["what"] == "title" and r["n"] >= 0.002 * titles),
+    shared = over_all.filter((F.col("all_n") >= enough) & (F.col("sources") >= 2) & ~(F.col("last").isNotNull() & (F.col("all_m") >= 0.5 * F.col("all_n")))).collect()
+    signoffs = frozenset(_unsigned(r["node"]) for r in shared if r["all_m"] >= SIGNOFF_RATE * r["all_n"])
+    openings = every.filter("what IN ('item', 'title')").groupBy("what", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter(F.col("n") >= enough).collect()
+    titles = every.filter("what = 'title'").agg(F.sum("n")).head()[0] or 1
+    of_all = Model(
+        common=frozenset(_unsigned(r["node"]) for r in shared),
+        signoffs=signoffs,
+        item_leads=frozenset(r["word"] for r in openings if r["what"] == "item" and r["n"] < 2 * r["m"]),
+        title_leads=frozenset(r["word"] for r in openings if r["what"] == "title" and r["n"] >= 0.002 * titles),
     )
+    kept = nodes.filter(F.col("source_id").isNotNull() & (F.col("n") >= MIN_PAGES)).select("source_id", "node", "n").join(over_all.select("node", "all_n"), "node")
+    kept = kept.join(every.filter("what = 'counted'").groupBy("source_id").agg(F.sum("n").alias("counted")), "source_id").join(sizes, "source_id")
+    share = F.col("n") / F.greatest(F.col("counted"), MIN_SHARE_OF_PAGES * F.col("pages"))
+    constant = (share >= CONSTANT_SHARE) | ((F.col("n") >= LOCAL_PAGES) & (share >= LOCAL_SHARE) & (share >= LIFT * F.col("all_n") / F.lit(max(total, 1))))
+    place = every.filter("what = 'place'").select("source_id", "node", F.col("n").alias("place"))
+    kept = materialize(kept.filter(constant).join(place, ["source_id", "node"], "left").select("source_id", "node", (F.col("place") / F.col("n")).alias("place")), "constants")
+    models = []
+    for b in range(blocks):
+        order: dict = {}
+        for r in kept.filter(_block(blocks, b)).toLocalIterator():
+            order.setdefault(r["source_id"], []).append((r["place"] or 0.0, _unsigned(r["node"])))
+        wrapper = {s: [k for _, k in sorted(v)] for s, v in order.items()}
+        models.append(replace(of_all, local={s: frozenset(v) for s, v in wrapper.items()}, wrapper=wrapper))
+    return models
+
+
+def per_block(docs: DataFrame, models: list[Model], run) -> DataFrame:
+    """``run(pages of the block, its model as a broadcast)`` over all blocks of sources, put together."""
+    send = docs.sparkSession.sparkContext.broadcast
+    if len(models) == 1:
+        return run(docs, send(models[0]))
+    parts = [run(docs.filter(_block(len(models), b)), send(m)) for b, m in enumerate(models)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def template_lines(docs: DataFrame) -> DataFrame:
@@ -342,22 +369,23 @@ def template_lines(docs: DataFrame) -> DataFrame:
     row; rows without a source are judged by the constants of the corpus alone; an empty table gives an
     empty result; repeated rows are labelled each.
     """
-    model = docs.sparkSession.sparkContext.broadcast(induce(docs))
-    return _slim(docs).mapInArrow(_label(model), "id string, line_no bigint")
+    return per_block(_slim(docs), induce(docs), lambda pages, model: pages.mapInArrow(_label(model), "id string, line_no bigint"))
 
 
 def main_text(docs: DataFrame, to: str = "body") -> DataFrame:
     """``docs`` with the report alone in column ``to``: the lines that are not template, in their order, blank lines kept out."""
-    model = docs.sparkSession.sparkContext.broadcast(induce(docs))
 
-    @F.pandas_udf("string")
-    def report(sources, titles, bodies):
-        def one(source, title, body):
-            if not body:
-                return body
-            nodes = page_nodes(body)
-            return "\n".join(n.text for n, t in zip(nodes, label_page(source, title, nodes, model.value)) if not t)
+    def cut(pages: DataFrame, model) -> DataFrame:
+        @F.pandas_udf(StringType())
+        def report(sources, titles, bodies):
+            def one(source, title, body):
+                if not body:
+                    return body
+                nodes = page_nodes(body)
+                return "\n".join(n.text for n, t in zip(nodes, label_page(source, title, nodes, model.value)) if not t)
+
+            return bodies.__class__([one(*x) for x in zip(sources, titles, bodies)], index=bodies.index, dtype=object)
 
-        return bodies.__class__([one(*x) for x in zip(sources, titles, bodies)], index=bodies.index, dtype=object)
+        return pages.withColumn(to, report("source_id", "title", "body"))
 
-    return docs.withColumn(to, report("source_id", "title", "body"))
+    return per_block(docs, induce(docs), cut)

@@ -163,6 +163,17 @@ def test_template_lines(spark):
     assert "comments on this" not in text["siteone1"] and "## What happened" in text["siteone1"] and text["x1"] is None and text["x2"] == ""
 
 
+def test_blocks_of_sources(spark, monkeypatch):
+    r = h.rng(13)
+    rows = [x for source in ("siteone", "sitetwo", "sitethree") for x in site_pages(r, 30, source)[0]] + [("x", None, None, "Home\nIt broke after lunch on a day.")]
+    df = spark.createDataFrame(rows, DOC)
+    whole = sorted(map(tuple, wrapper.template_lines(df).collect()))
+    monkeypatch.setattr(wrapper, "MAX_MODEL_ROWS", 4)
+    assert len(wrapper.induce(df)) > 2
+    assert sorted(map(tuple, wrapper.template_lines(df).collect())) == whole
+    assert wrapper.main_text(df).count() == len(rows)
+
+
 def test_copies_are_no_template(spark):
     r = h.rng(12)
     rows, truth = site_pages(r, 60, "siteone", copies=20)
