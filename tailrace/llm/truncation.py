@@ -58,7 +58,7 @@ def _once(df: DataFrame, *columns: str) -> DataFrame:
 def truncation_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(trigram counts ``kind, a, b, c, inside, ends``, last trigrams ``doc_id, kind, a, b, c, marked, ended``).
 
-    The counting plan keeps to expressions that Spark compiles: no lambda runs per word.
+    Ends of whole texts aren't counted yet, and ``last`` has a hash of its text in ``same``. The counting plan keeps to expressions that Spark compiles: no lambda runs per word.
     """
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim("text", F.lit(" \t\r\n\f\u00a0")).alias("text")).filter("text <> ''")
     whole = _once(whole, "text")
@@ -68,21 +68,22 @@ def truncation_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = _once(whole.select("doc_id", "text", tail.rlike(_MARK).alias("marked")), "marked")
     cut = _once(cut.select("doc_id", "marked", F.when(F.col("marked"), bare).otherwise(F.col("text")).alias("body")), "body")
 
-    lines = cut.select((F.instr("body", "\n") > 0).alias("several"), F.posexplode_outer(F.split("body", "\n")).alias("pos", "line"))
-    title = F.col("several") & (F.col("pos") == 0) & ~F.right("line", F.lit(8)).rlike(_ENDED)
-    words = lines.select(F.when(title, "title").otherwise(_kind(F.col("line"))).alias("kind"), F.expr(_word_array("line")).alias("w"))
+    split = cut.select(F.split("body", "\n").alias("all"))
+    lines = split.select("all", F.posexplode_outer("all").alias("pos", "line")).select((F.size("all") - 1).alias("last"), "pos", "line")
+    title = (F.col("last") > 0) & (F.col("pos") == 0) & ~F.right("line", F.lit(8)).rlike(_ENDED)
+    words = lines.select(F.when(title, "title").otherwise(_kind(F.col("line"))).alias("kind"), (F.col("pos") == F.col("last")).alias("final"), F.expr(_word_array("line")).alias("w"))
     # outer: the plain explode would be given a filter that cuts every line a second time
-    at = words.select("kind", "w", F.posexplode_outer("w").alias("i", "c")).filter("c <> '' AND c <> '.'")
+    at = words.select("kind", "final", "w", F.posexplode_outer("w").alias("i", "c")).filter("c <> '' AND c <> '.'")
     a, b, d = F.get("w", F.col("i") - 2), F.get("w", F.col("i") - 1), F.get("w", F.col("i") + 1)
     fresh = b.isNull() | b.isin("", ".")  # a sentence or line begins here
-    shaped = at.select("kind", F.when(fresh | a.isNull() | a.isin("", "."), "^").otherwise(a).alias("a"), F.when(fresh, "^").otherwise(b).alias("b"), "c", (d.isNull() | (d == "")).alias("end"), (d == ".").alias("stop"))
-    counts = shaped.groupBy("kind", "a", "b", "c").agg(F.count_if(~F.col("end") & ~F.coalesce("stop", F.lit(False))).alias("inside"), F.count_if("end").alias("ends"))
+    shaped = at.select("kind", F.when(fresh | a.isNull() | a.isin("", "."), "^").otherwise(a).alias("a"), F.when(fresh, "^").otherwise(b).alias("b"), "c", (d.isNull() | (d == "")).alias("end"), (d == ".").alias("stop"), "final")
+    counts = shaped.groupBy("kind", "a", "b", "c").agg(F.count_if(~F.col("end") & ~F.coalesce("stop", F.lit(False))).alias("inside"), F.count_if(F.col("end") & ~F.col("final")).alias("ends"))
 
     last_line = F.substring_index("body", "\n", -1)
     wordy = F.try_element_at(F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]")), F.lit(-1))
-    final = cut.select("doc_id", "marked", F.when(last_line.rlike(r"[\p{L}\p{N}]"), last_line).otherwise(wordy).alias("line"))
-    final = _once(final, "line").select("doc_id", "marked", _kind(F.col("line")).alias("kind"), F.right(F.rtrim("line"), F.lit(8)).rlike(_ENDED).alias("ended"), F.filter(F.expr(_word_array("line")), lambda x: (x != "") & (x != ".")).alias("v"))
-    last = _once(final, "v").select("doc_id", "kind", "marked", "ended", F.coalesce(F.try_element_at("v", F.lit(-3)), F.lit("^")).alias("a"), F.coalesce(F.try_element_at("v", F.lit(-2)), F.lit("^")).alias("b"), F.try_element_at("v", F.lit(-1)).alias("c")).filter("c IS NOT NULL")
+    final = cut.select("doc_id", "marked", F.xxhash64("body").alias("same"), F.when(last_line.rlike(r"[\p{L}\p{N}]"), last_line).otherwise(wordy).alias("line"))
+    final = _once(final, "line").select("doc_id", "marked", "same", _kind(F.col("line")).alias("kind"), F.right(F.rtrim("line"), F.lit(8)).rlike(_ENDED).alias("ended"), F.filter(F.expr(_word_array("line")), lambda x: (x != "") & (x != ".")).alias("v"))
+    last = _once(final, "v").select("doc_id", "same", "kind", "marked", "ended", F.coalesce(F.try_element_at("v", F.lit(-3)), F.lit("^")).alias("a"), F.coalesce(F.try_element_at("v", F.lit(-2)), F.lit("^")).alias("b"), F.try_element_at("v", F.lit(-1)).alias("c")).filter("c IS NOT NULL")
     return counts, last
 
 
@@ -96,8 +97,10 @@ def _with_counts(last: DataFrame, counts: DataFrame, keys: list[str], name: str)
 def judged(docs: DataFrame) -> DataFrame:
     """``doc_id, cut`` of every text with a word; ``cut`` says that it was cut off."""
     counts, last = truncation_tables(docs)
-    counts = materialize(counts, "trigrams")
     last = materialize(last, "last-trigrams")
+    # copies of one text, however many, are one end
+    ends = last.filter("NOT ended").groupBy("kind", "a", "b", "c").agg(F.lit(0).cast("long").alias("inside"), F.countDistinct("same").alias("ends"))
+    counts = materialize(counts.unionByName(ends), "trigrams")
     open_ = last.filter("NOT ended")
     for keys, name in ((["kind", "a", "b", "c"], "3"), (["kind", "b", "c"], "2"), (["kind", "c"], "1"), (["a", "b", "c"], "3a"), (["b", "c"], "2a"), (["c"], "1a")):
         open_ = _with_counts(open_, counts, keys, name)

@@ -149,3 +149,11 @@ def test_truncation_rates(spark):
     got = {r["source"]: r for r in truncation.truncation_rates(df).collect()}
     assert got["s"]["n_docs"] == 454 and got[None]["n_docs"] == 450 and got["s"]["n_truncated"] == 90
     assert truncation.truncated(df.limit(0)).isEmpty()
+
+
+def test_copies_of_a_cut_text(spark):
+    rows, cut = texts()
+    hot = next(t for i, t, _ in rows if i in cut and i % 30 == 0)
+    more = [(10_000 + i, hot, "s") for i in range(450)]
+    got = {r["doc_id"] for r in truncation.truncated(spark.createDataFrame(rows + more, DOC)).collect()}
+    assert {i for i, _, _ in more} <= got and len(got & cut) >= 0.95 * len(cut)
