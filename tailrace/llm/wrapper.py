@@ -22,6 +22,7 @@ sources together have more than ``MAX_MODEL_ROWS``, passes 2 and 3 run over bloc
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass, field, replace
 
@@ -31,10 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tailrace.llm.lines import ITEM, SENTENCES, B, C, H, L, P, T, fold, fold_lines, kind_of, lead
+from tailrace.llm.lines import ITEM, NAME, SENTENCES, B, C, H, L, P, T, fold, fold_lines, kind_of, lead
 from tailrace.llm.repeated_lines import Summary
 from tailrace.session import materialize
 
+SLOT = re.compile(r"\d")
 #: Share of a source's pages from which a node is constant there by itself.
 CONSTANT_SHARE = 0.2
 #: Share from which it is constant if it is also this many times as frequent as in the whole corpus.
@@ -102,13 +104,20 @@ _CERTAIN = (H, T, C, P, L)
 def countable(nodes: list[Node]) -> tuple[set[int], set[int]]:
     """The distinct nodes of a page that may be constants of its source, and those that may be constants of the corpus."""
     local = {n.key for n in nodes if n.kind != H}
-    common = {n.key for n in nodes if n.kind == P} | {k for n in nodes if n.kind == P for k in last_sentence(n.text)}
+    common = {n.key for n in nodes if n.kind == P and without_slots(n.text)} | {k for n in nodes if n.kind == P for k in last_sentence(n.text)}
     return local, common
 
 
+def without_slots(text: str) -> bool:
+    """Whether a sentence has neither numbers nor compound names: only then can it be the same for all sources."""
+    return not (SLOT.search(text) or NAME.search(text))
+
+
 def last_sentence(text: str) -> tuple[int, ...]:
-    """The key of the last sentence of a line of several sentences."""
+    """The key of the last sentence of a line of several sentences, if that has no slots and the line but two compound words (a site's own name, say)."""
     parts = SENTENCES.split(text)
+    if SLOT.search(text) or not without_slots(parts[-1]) or len(NAME.findall(text)) > 2:
+        return ()
     return (_key(" ".join(parts[-1].lower().split()).encode("utf-8", "surrogatepass")) ^ 1,) if len(parts) > 1 else ()
 
 
@@ -167,7 +176,7 @@ def label_page(source: str | None, title: str | None, nodes: list[Node], model:
 
 # -- the three passes -------------------------------------------------------
 
-_ROWS = "what string, source_id string, node bigint, word string, n bigint, m bigint"
+_ROWS = "what string, source_id string, node bigint, word string, n bigint, m bigint, lo bigint, hi bigint"
 
 
 def _signed(h: int) -> int:
@@ -175,9 +184,10 @@ def _signed(h: int) -> int:
 
 
 def _rows(rows):
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    cols = list(zip(*rows)) if rows else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["what", "source_id", "node", "word", "n", "m"])
+    """An Arrow batch of rows; the last two columns may be left out."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4]
+    cols = list(zip(*((*r, None, None)[:8] for r in rows))) if rows else [[]] * 8
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["what", "source_id", "node", "word", "n", "m", "lo", "hi"])
 
 
 def _pages(batches, *columns):
@@ -209,7 +219,7 @@ def _summarise(batches):
 
 
 def _count(wanted):
-    """Pass 2: exact counts of the candidates by source (m: right after a line of the report) and of the openings of items and titles."""
+    """Pass 2: exact counts of the candidates by source (m: right after a line of the report; lo, hi: least and greatest hash of their pages' titles) and of the openings of items and titles."""
 
     def run(batches):
         local, common = wanted.value
@@ -217,6 +227,8 @@ def _count(wanted):
         after: Counter = Counter()
         words: Counter = Counter()
         places: Counter = Counter()
+        lo: dict = {}
+        hi: dict = {}
         marked: Counter = Counter()
         counted: Counter = Counter()
         ends: set[int] = set()
@@ -233,6 +245,12 @@ def _count(wanted):
                 counted[source] += 1
                 seen = {k for k in mine if k in common or k in local.get(source, ())} | {k for k in shared if k in common}
                 counts.update((source, k) for k in seen)
+                named = fold(title) if title else b""
+                if named:
+                    mark = _signed(_key(named))
+                    for k in seen:
+                        lo[source, k] = min(mark, lo.get((source, k), mark))
+                        hi[source, k] = max(mark, hi.get((source, k), mark))
                 ends.update(k for k in shared - mine if k in common)
                 before = parent = ""
                 for i, n in enumerate(nodes):
@@ -250,7 +268,7 @@ def _count(wanted):
                     else:
                         parent = n.kind
                     before = n.kind
-        yield _rows([("node", s, _signed(k), "last" if k in ends else None, n, after[s, k]) for (s, k), n in counts.items()])
+        yield _rows([("node", s, _signed(k), "last" if k in ends else None, n, after[s, k], lo.get((s, k)), hi.get((s, k))) for (s, k), n in counts.items()])
         yield _rows([("place", s, _signed(k), None, n, 0) for (s, k), n in places.items()])
         yield _rows([(what, None, None, w, n, marked[what, w]) for (what, w), n in words.items()])
         yield _rows([("counted", s, None, None, n, 0) for s, n in counted.items()])
@@ -315,16 +333,18 @@ def induce(docs: DataFrame) -> list[Model]:
             local.setdefault(r["source_id"], set()).add(_unsigned(r["node"]))
         wanted = spark.sparkContext.broadcast((local, common))
         pages = slim.filter(_block(blocks, block)) if blocks > 1 else slim
-        return materialize(pages.select("source_id", "title", "body").mapInArrow(_count(wanted), _ROWS).groupBy("what", "source_id", "node", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), f"node-counts-{block}")
+        return materialize(pages.select("source_id", "title", "body").mapInArrow(_count(wanted), _ROWS).groupBy("what", "source_id", "node", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), f"node-counts-{block}")
 
     parts = [counts(b) for b in range(blocks)]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
+    # what stands on pages of one title only is a line of that report, told several times
     nodes = every.filter("what = 'node'")
-    over_all = materialize(nodes.groupBy("node").agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_m"), F.count("*").alias("sources"), F.max("word").alias("last")), "nodes-of-all")
+    told_once = F.coalesce(F.col("lo") == F.col("hi"), F.lit(False))
+    over_all = materialize(nodes.groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("all_n"), F.sum("m").alias("all_m"), F.count("*").alias("sources"), F.max("word").alias("last")), "nodes-of-all")
     # a last sentence that always ends one and the same line is that line's, not a constant of notices
-    shared = over_all.filter((F.col("all_n") >= enough) & (F.col("sources") >= 2) & ~(F.col("last").isNotNull() & (F.col("all_m") >= 0.5 * F.col("all_n")))).collect()
+    shared = over_all.filter(~told_once & (F.col("all_n") >= enough) & (F.col("sources") >= 2) & ~(F.col("last").isNotNull() & (F.col("all_m") >= 0.5 * F.col("all_n")))).collect()
     signoffs = frozenset(_unsigned(r["node"]) for r in shared if r["all_m"] >= SIGNOFF_RATE * r["all_n"])
     openings = every.filter("what IN ('item', 'title')").groupBy("what", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter(F.col("n") >= enough).collect()
     titles = every.filter("what = 'title'").agg(F.sum("n")).head()[0] or 1
@@ -334,7 +354,7 @@ def induce(docs: DataFrame) -> list[Model]:
         item_leads=frozenset(r["word"] for r in openings if r["what"] == "item" and r["n"] < 2 * r["m"]),
         title_leads=frozenset(r["word"] for r in openings if r["what"] == "title" and r["n"] >= 0.002 * titles),
     )
-    kept = nodes.filter(F.col("source_id").isNotNull() & (F.col("n") >= MIN_PAGES)).select("source_id", "node", "n").join(over_all.select("node", "all_n"), "node")
+    kept = nodes.filter(~told_once & F.col("source_id").isNotNull() & (F.col("n") >= MIN_PAGES)).select("source_id", "node", "n").join(over_all.select("node", "all_n"), "node")
     kept = kept.join(every.filter("what = 'counted'").groupBy("source_id").agg(F.sum("n").alias("counted")), "source_id").join(sizes, "source_id")
     share = F.col("n") / F.greatest(F.col("counted"), MIN_SHARE_OF_PAGES * F.col("pages"))
     constant = (share >= CONSTANT_SHARE) | ((F.col("n") >= LOCAL_PAGES) & (share >= LOCAL_SHARE) & (share >= LIFT * F.col("all_n") / F.lit(max(total, 1))))
