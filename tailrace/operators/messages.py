@@ -8,12 +8,14 @@ vectors broadcast while they are small, else each task fetches the vectors of it
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailrace.session import BROADCAST_BYTES, materialize, table_bytes
+from tailrace.session import BROADCAST_BYTES, materialize, table_bytes, work_dir
 
 BLOCK_BITS = 16
 
@@ -80,10 +82,7 @@ def _drop_joined(messages: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def _drop_fetched(messages: DataFrame, vectors: DataFrame) -> DataFrame:
     """As ``_drop_joined``, for vectors of any size: they are written by file name, and tasks read those of their files."""
-    from tailrace.session import shared_dir
-
-    spark = messages.sparkSession
-    folder = f"{shared_dir(spark)}/tailrace/vectors-{id(vectors)}-{spark.sparkContext.applicationId}"
+    folder = f"{work_dir(messages.sparkSession)}/vectors-{uuid.uuid4().hex}"
     vectors.withColumn("part", F.sha2("file", 256)).write.mode("overwrite").partitionBy("part").parquet(folder)
     row = F.col("_metadata.row_index")
     here = messages.select("*", F.sha2(F.col("_metadata.file_path"), 256).alias("__part"), row.alias("__row"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tailrace.functions import text
@@ -11,6 +13,7 @@ from tailrace.operators import evaluation as ops
 from tailrace.plans.core import query, table
 from tailrace.plans.labelling import TAX, q
 from tailrace.plans.texts import TEXTS_SQL, strip_sql
+from tailrace.session import work_dir
 from tailrace.taxonomy import LABELS
 
 HASH = "('0x' || substr(md5(example_id::VARCHAR || ':' || label), 1, 8))::BIGINT % 10000"
@@ -158,9 +161,7 @@ def export_rows(spark, d):
 
 @query(f"WITH {ROWS} SELECT id, raw_org AS org, severity, content_hash FROM rows ORDER BY content_hash")
 def export_dataset(spark, d):
-    from tailrace.session import shared_dir
-
-    path = f"{shared_dir(spark)}/tailrace/export-{abs(hash(d))}"
+    path = f"{work_dir(spark)}/export-{uuid.uuid4().hex}"
     export.write_export(table(spark, d, "incidents"), path)
     return spark.read.parquet(path).select("id", "org", "severity", "content_hash")
 

@@ -12,7 +12,7 @@ from tailrace.operators.messages import message_key
 from tailrace.plans.copies import DUP
 from tailrace.plans import texts as _texts  # noqa: F401
 from tailrace.plans.core import P4_KEY, SQL, query, table
-from tailrace.session import shared_dir
+from tailrace.session import work_dir
 from tailrace.streaming import bus
 
 _OWN = {n: [k for k in {**bus.ENVELOPE, **own}] for n, own in bus.EVENTS.items()}
@@ -39,7 +39,7 @@ def _spoilt(messages):
 
 
 def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/tailrace/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {SPOILT_SQL} SELECT event_type, coalesce(error, 'ok') AS outcome, count(*) AS n FROM dec GROUP BY ALL")

@@ -3,7 +3,6 @@ lineage in the shared folder and broadcasting behind a size check."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
@@ -65,11 +64,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Lineage ends there, so that an executor lost later costs no recomputation
     beyond the running stage; unlike localCheckpoint nothing is kept on executors.
     """
-    path = f"{shared_dir(df.sparkSession)}/tailrace/{os.getpid()}-{uuid.uuid4().hex}/{name}"
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder within the shared one; it is deleted when the application ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/tailrace/{sc.applicationId}"
+    if getattr(sc, "_tailrace_work", None) != path:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        sc._tailrace_work = path
+    return path
+
+
 def table_bytes(df: DataFrame) -> int:
     """Rows of ``df`` times a generous width. An action: call it on a materialized table."""
     width = {"bigint": 8, "int": 4, "smallint": 2, "double": 8, "float": 4, "boolean": 1, "date": 4, "timestamp": 8}
