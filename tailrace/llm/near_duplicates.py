@@ -64,18 +64,18 @@ def _check(least: float):
 
 
 def pairs_by_key(keyed: DataFrame, key: str, member: str) -> DataFrame:
-    """Distinct ``(a, b)``, a < b, of members that share a key. Keys of one member are dropped before the join."""
+    """Distinct ``(a, b)``, a < b, of members that share a key. Keys that stand alone, most of them, are dropped before the join."""
     shared = keyed.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
-    kept = keyed.join(shared, key, "left_semi")
+    kept = materialize(keyed.join(shared, key, "left_semi"), "shared-keys")
     x = kept.select(key, F.col(member).alias("a"))
     y = kept.select(key, F.col(member).alias("b"))
     return x.join(y, key).filter("a < b").select("a", "b").distinct()
 
 
 def _stored_bands(stored: DataFrame) -> DataFrame:
-    """``(id, band)`` of usable stored signatures: 128 permutations in bands of four. Other sizes and null bands can't be compared."""
+    """``id, bands`` of usable stored signatures: 128 permutations in bands of four. Other sizes and null bands can't be compared. Bands are hashed before anything is shuffled."""
     usable = stored.filter("num_perm = 128 AND band_size = 4 AND band_hashes IS NOT NULL AND document_id IS NOT NULL")
-    return usable.select(F.col("document_id").alias("id"), F.explode("band_hashes").alias("h")).filter("h IS NOT NULL").select("id", F.xxhash64("h").alias("band"))
+    return usable.select(F.col("document_id").alias("id"), F.transform(F.array_compact("band_hashes"), lambda h: F.xxhash64(h)).alias("bands"))
 
 
 class NearDuplicates:
@@ -96,10 +96,10 @@ class NearDuplicates:
         self.members = signed.select("id", "digest").distinct()
         # bands travel with 60 bits of the digest; classes that share them are all checked
         short = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
-        banded = signed.select(short.alias("k"), F.explode("bands").alias("band")).distinct()
+        banded = signed.select("digest", "bands").dropDuplicates(["digest"]).select(short.alias("k"), "bands")
         if stored is not None:
-            by_class = _stored_bands(stored).join(self.members.select("id", short.alias("k")), "id").select("k", "band")
-            banded = banded.unionByName(by_class.distinct())
+            banded = banded.unionByName(_stored_bands(stored).join(self.members.select("id", short.alias("k")), "id").select("k", "bands"))
+        banded = banded.select("k", F.explode("bands").alias("band"))
         candidates = pairs_by_key(banded, "band", "k")
         texts = signed.select("digest", "text").dropDuplicates(["digest"]).withColumn("k", short)
         x = texts.select(F.col("k").alias("a"), F.col("digest").alias("digest_a"), F.col("text").alias("text_a"))
