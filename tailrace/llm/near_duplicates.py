@@ -83,13 +83,13 @@ class NearDuplicates:
 
     ``stored``: optional table of MinHash band hashes, whose collisions are further candidates.
     Null, empty and template-only bodies and texts of under five words have no runs of words and so no
-    links; repeated rows of an id count once; an empty table gives no links; other columns are ignored.
+    links, nor have rows without an id; repeated rows of an id count once; an empty table gives no links; other columns are ignored.
     """
 
     def __init__(self, docs: DataFrame, least: float = 0.8, stored: DataFrame | None = None, pages: bool = True):
         title = F.col("title") if "title" in docs.columns else F.lit(None).cast("string").alias("title")
         source = F.col("source_id") if "source_id" in docs.columns else F.lit(None).cast("string").alias("source_id")
-        slim = docs.select(F.col("id").cast("string").alias("id"), source, title, "body")
+        slim = docs.select(F.col("id").cast("string").alias("id"), source, title, "body").filter("id IS NOT NULL")
         signed = per_block(slim, induce(slim), lambda part, model: part.mapInArrow(_sign(model), _SIGNED)) if pages else slim.mapInArrow(_sign(None), _SIGNED)
         signed = materialize(signed, "signed")
         #: ``id, digest``: the class of each document.

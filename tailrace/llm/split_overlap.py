@@ -91,12 +91,12 @@ class SplitOverlap:
     """Overlaps between the ``train`` records and the records of all other splits.
 
     ``records``: ``example_id, text, split``, optionally ``source``; further columns are ignored.
-    Null and blank texts, texts of fewer than five words and rows without a split never overlap;
+    Null and blank texts, texts of fewer than five words and rows without an id or a split never overlap;
     repeated rows of an id count once; an empty table gives no overlaps.
     """
 
     def __init__(self, records: DataFrame, least: float = 0.8, overlap: float = OVERLAP, train: str = "train"):
-        slim = records.select(F.col("example_id").cast("long").alias("id"), F.lower(F.trim("split")).alias("split"), "text").filter("split IS NOT NULL AND text IS NOT NULL")
+        slim = records.select(F.col("example_id").cast("long").alias("id"), F.lower(F.trim("split")).alias("split"), "text").filter("id IS NOT NULL AND split IS NOT NULL AND text IS NOT NULL")
         texts = materialize(slim.select("id", "text").mapInArrow(_normalise, "id bigint, digest string, text string"), "records")
         #: ``id, digest, trained``: the class of each record and its side.
         self.members = texts.select("id", "digest").join(slim.select("id", (F.col("split") == train).alias("trained")), "id").distinct()

@@ -128,3 +128,12 @@ def test_near_empty_and_clashing(spark):
     rows = [(*r, "x", [1]) for r in pages()[:3]]
     df = spark.createDataFrame(rows, DOC + ", digest string, bands array<int>")
     assert NearDuplicates(df, 0.7).groups().isEmpty()
+
+
+def test_rows_without_an_id(spark):
+    t = h.report(h.rng(8))
+    recs = spark.createDataFrame([(None, t, "train", "a"), (1, t, "test", "a"), (None, t, "test", "a")], EXAMPLE)
+    assert SplitOverlap(recs, 0.7).pairs().isEmpty()
+    docs = spark.createDataFrame([(None, "s", None, t), ("a", "s", None, t), (None, "s", None, t)], DOC)
+    near = NearDuplicates(docs, 0.7, pages=False)
+    assert near.pairs().isEmpty() and near.groups().isEmpty()
