@@ -14,13 +14,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailrace.session import materialize, small
+from tailrace.session import materialize
 
 #: Prior counts: an annotator is taken to be right four times in five until the data says otherwise.
 RIGHT, WRONG = 4.0, 1.0
 LABEL_YES, LABEL_NO = 1.0, 5.0
 ITERATIONS = 12
 SENTINEL = "reviewed"
+#: Up to so many annotators their weights are constants of an expression; beyond it they are joined.
+FEW_ANNOTATORS = 64
 
 
 def digamma(x: Column) -> Column:
@@ -33,6 +35,10 @@ def digamma(x: Column) -> Column:
     return out
 
 
+def logistic(x: Column) -> Column:
+    return 1.0 / (1.0 + F.exp(-F.greatest(F.least(x, F.lit(700.0)), F.lit(-700.0))))
+
+
 def spelled(label: Column) -> Column:
     """Taxonomy spelling: lower case, words joined by single hyphens, no blanks at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(label), "[\\s\\u00a0_-]+", "-"), "^-+|-+$", "")
@@ -59,52 +65,66 @@ class Consensus:
     """
 
     def __init__(self, labels: DataFrame, taxonomy: Sequence[str], iterations: int = ITERATIONS):
-        spark = labels.sparkSession
         votes = materialize(human_votes(labels), "votes")
         seen = votes.select("incident_id", "annotator").distinct()
         known = F.array(*[F.lit(t) for t in taxonomy])
         yes = votes.filter(F.col("label").isin(*taxonomy)).withColumn("yes", F.lit(True))
         asked = seen.select("incident_id", "annotator", F.explode(known).alias("label"))
         answers = asked.join(yes, ["incident_id", "annotator", "label"], "left").select("incident_id", "label", "annotator", F.coalesce("yes", F.lit(False)).alias("yes"))
-        # one answer per annotator and item; the pattern is a bounded digest of all of them
-        marked = F.sort_array(F.collect_list(F.concat_ws("\u0001", F.when(F.col("yes"), "+").otherwise("-"), "annotator")))
-        items = answers.groupBy("incident_id", "label").agg(F.sha2(F.concat_ws("\u0002", "label", F.concat_ws("\u0002", marked)), 256).alias("pattern"), F.sum(F.col("yes").cast("int")).alias("n_yes"), F.count("*").alias("n"))
+        # an item's votes are at most one per annotator
+        voted = answers.groupBy("incident_id", "label").agg(F.sort_array(F.collect_list(F.struct("annotator", "yes"))).alias("votes"))
+        marked = F.array_join(F.transform("votes", lambda v: F.concat(F.when(v["yes"], "+").otherwise("-"), v["annotator"])), "\u0002")
+        items = materialize(voted.select("incident_id", "label", F.unhex(F.md5(F.concat_ws("\u0001", "label", marked))).alias("pattern"), "votes"), "items")
         #: ``incident_id, label, pattern, n_yes, n``: one row for each label of each judged incident.
-        self.items = materialize(items, "items")
-        sizes = self.items.groupBy("pattern", "label").agg(F.count("*").alias("items"), F.min("incident_id").alias("incident_id"))
-        #: ``pattern, label, items, annotator, yes``: the answers of each distinct pattern.
-        self.patterns = materialize(sizes.join(answers, ["incident_id", "label"]).select("pattern", "label", "items", "annotator", "yes"), "patterns")
-        share = self.patterns.groupBy("pattern", "label", "items").agg(F.avg(F.col("yes").cast("double")).alias("q"))
+        self.items = items.select("incident_id", "label", "pattern", F.size(F.filter("votes", lambda v: v["yes"])).alias("n_yes"), F.size("votes").alias("n"))
+        #: ``pattern, label, items, votes``: the answers of each distinct pattern.
+        self.patterns = materialize(items.groupBy("pattern").agg(F.first("label").alias("label"), F.count("*").alias("items"), F.first("votes").alias("votes")), "patterns")
+        few = self.patterns.select(F.explode("votes.annotator").alias("annotator")).distinct().count() <= FEW_ANNOTATORS
+        yes = F.size(F.filter("votes", lambda v: v["yes"])) / F.size("votes")
+        share = self.patterns.select("pattern", "label", "items", "votes", yes.alias("q"))
         for _ in range(iterations):
-            share = materialize(self._step(share), "posterior")
-        #: ``pattern, label, items, q``: the posterior that the label is true.
-        self.posterior = share
+            share = self._in_rows(share) if few else materialize(self._by_joins(share), "posterior")
+        #: ``pattern, label, items, votes, q``: the posterior that the label is true.
+        self.posterior = materialize(share, "posterior")
 
-    def _rates(self, q: DataFrame) -> DataFrame:
+    @staticmethod
+    def _rates(q: DataFrame) -> DataFrame:
         """Expected counts by annotator: (yes|true, no|true, yes|false, no|false), priors included."""
-        rows = self.patterns.join(q.select("pattern", "q"), "pattern")
-        w = F.col("items") * F.col("q")
-        v = F.col("items") * (1 - F.col("q"))
-        yes = F.col("yes")
+        rows = q.select((F.col("items") * F.col("q")).alias("w"), (F.col("items") * (1 - F.col("q"))).alias("v"), F.inline("votes"))
         return rows.groupBy("annotator").agg(
-            (F.sum(F.when(yes, w).otherwise(0.0)) + RIGHT).alias("yt"),
-            (F.sum(F.when(yes, 0.0).otherwise(w)) + WRONG).alias("nt"),
-            (F.sum(F.when(yes, v).otherwise(0.0)) + WRONG).alias("yf"),
-            (F.sum(F.when(yes, 0.0).otherwise(v)) + RIGHT).alias("nf"),
+            (F.sum(F.when(F.col("yes"), F.col("w")).otherwise(0.0)) + RIGHT).alias("yt"),
+            (F.sum(F.when(F.col("yes"), 0.0).otherwise(F.col("w"))) + WRONG).alias("nt"),
+            (F.sum(F.when(F.col("yes"), F.col("v")).otherwise(0.0)) + WRONG).alias("yf"),
+            (F.sum(F.when(F.col("yes"), 0.0).otherwise(F.col("v"))) + RIGHT).alias("nf"),
         )
 
-    def _step(self, q: DataFrame) -> DataFrame:
-        rates = self._rates(q)
+    def _weights(self, q: DataFrame) -> DataFrame:
+        """``annotator, if_yes, if_no``: what an answer adds to the log odds of a label."""
         t, f = digamma(F.col("yt") + F.col("nt")), digamma(F.col("yf") + F.col("nf"))
-        weights = materialize(rates.select(
-            "annotator",
-            (digamma(F.col("yt")) - t - digamma(F.col("yf")) + f).alias("if_yes"),
-            (digamma(F.col("nt")) - t - digamma(F.col("nf")) + f).alias("if_no"),
-        ), "weights")
-        prior = q.groupBy("label").agg((F.sum(F.col("items") * F.col("q")) + LABEL_YES).alias("a"), (F.sum(F.col("items") * (1 - F.col("q"))) + LABEL_NO).alias("b"))
-        odds = self.patterns.join(small(weights), "annotator").groupBy("pattern", "label", "items").agg(F.sum(F.when(F.col("yes"), F.col("if_yes")).otherwise(F.col("if_no"))).alias("s"))
-        x = F.col("s") + digamma(F.col("a")) - digamma(F.col("b"))
-        return odds.join(F.broadcast(prior), "label").select("pattern", "label", "items", (1.0 / (1.0 + F.exp(-F.greatest(F.least(x, F.lit(700.0)), F.lit(-700.0))))).alias("q"))
+        return self._rates(q).select("annotator", (digamma(F.col("yt")) - t - digamma(F.col("yf")) + f).alias("if_yes"), (digamma(F.col("nt")) - t - digamma(F.col("nf")) + f).alias("if_no"))
+
+    @staticmethod
+    def _priors(q: DataFrame) -> DataFrame:
+        """``label, prior``: log odds before any answer."""
+        g = q.groupBy("label").agg((F.sum(F.col("items") * F.col("q")) + LABEL_YES).alias("a"), (F.sum(F.col("items") * (1 - F.col("q"))) + LABEL_NO).alias("b"))
+        return g.select("label", (digamma(F.col("a")) - digamma(F.col("b"))).alias("prior"))
+
+    def _in_rows(self, q: DataFrame) -> DataFrame:
+        """One iteration with few annotators: their weights go into the expression, so no vote is shuffled and the plan doesn't grow."""
+        w, p = self._weights(q).collect(), self._priors(q).collect()
+        if not w:
+            return q
+        table = F.create_map(*[F.lit(x) for r in w for x in (("+" + r["annotator"]), r["if_yes"], ("-" + r["annotator"]), r["if_no"])])
+        prior = F.create_map(*[F.lit(x) for r in p for x in (r["label"], r["prior"])])
+        odds = F.aggregate("votes", F.lit(0.0), lambda a, v: a + table[F.concat(F.when(v["yes"], "+").otherwise("-"), v["annotator"])])
+        return self.patterns.select("pattern", "label", "items", "votes", logistic(odds + prior[F.col("label")]).alias("q"))
+
+    def _by_joins(self, q: DataFrame) -> DataFrame:
+        """The same with any number of annotators."""
+        rows = self.patterns.select("pattern", F.inline("votes")).join(self._weights(q), "annotator")
+        odds = rows.groupBy("pattern").agg(F.sum(F.when(F.col("yes"), F.col("if_yes")).otherwise(F.col("if_no"))).alias("s"))
+        joined = self.patterns.join(odds, "pattern").join(F.broadcast(self._priors(q)), "label")
+        return joined.select("pattern", "label", "items", "votes", logistic(F.col("s") + F.col("prior")).alias("q"))
 
     def labels(self) -> DataFrame:
         """``incident_id, label, posterior, agreement``: labels true by consensus; agreement is the share of the incident's annotators who chose it."""

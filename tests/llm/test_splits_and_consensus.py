@@ -135,6 +135,16 @@ def test_consensus(spark):
     assert {r["label"] for r in c.agreement().collect()} == set(TAX)
 
 
+def test_consensus_by_joins(spark, monkeypatch):
+    from tailrace.llm import consensus
+
+    df = spark.createDataFrame(votes(items=60)[0], LABEL)
+    few = {(r["incident_id"], r["label"]): r["posterior"] for r in Consensus(df, TAX, iterations=4).labels().collect()}
+    monkeypatch.setattr(consensus, "FEW_ANNOTATORS", 0)
+    many = {(r["incident_id"], r["label"]): r["posterior"] for r in Consensus(df, TAX, iterations=4).labels().collect()}
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 for k in few)
+
+
 def test_only_the_last_round_counts(spark):
     rows = [("a", "dns", "human", "x", None), ("a", "bad-deploy", "human", "x", 1), ("a", "quota-limit", "human", "x", 2), ("a", "quota-limit", "human", "y", 1), ("a", "quota-limit", "human", "z", None), ("b", "__reviewed__", "human", "x", 1), ("b", "__reviewed__", "human", "y", 1)]
     c = Consensus(spark.createDataFrame(rows, LABEL), TAX)
