@@ -15,7 +15,9 @@ The constants of a source, in the order of their mean place, are its wrapper. Th
 before its first certain line) is aligned with it by simple tree matching; what is the title of a page that
 doesn't say so is looked for below the last node that matches.
 
-Passes 1 and 2 count nodes per task and source, pass 3 labels; no text is shuffled. What is broadcast has
+Pages that tell the same report count once (``_reports``), whatever their titles.
+
+Passes 1 and 2 count nodes per task and source, pass 3 labels; no text is shuffled, but hashes of each page's candidates are. What is broadcast has
 shares of pages as thresholds and so holds at most (lines per page) / share nodes for each source. Where all
 sources together have more than ``MAX_MODEL_ROWS``, passes 2 and 3 run over blocks of sources.
 """
@@ -46,8 +48,10 @@ COMMON_SHARE = 0.001
 MIN_PAGES = 3
 #: Pages that count for a share, at least, against all pages of the source.
 MIN_SHARE_OF_PAGES = 0.1
-#: Share of a page's lines that come back, from which it is a copy.
+#: Share of a page's lines that come back, from which it may be a copy; it is one if it also tells less than this share of what the source's pages tell beside such lines.
 COPIED_SHARE = 0.5
+#: Share of the pages of one title with the same remainder, beyond which they tell one report.
+RETOLD_SHARE = 1 / 3
 #: A common sentence is the report's own if this share of its uses follows a line of the report.
 SIGNOFF_RATE = 0.8
 #: Model rows sent to every executor at most. Each is under 64 bytes.
@@ -176,7 +180,7 @@ def label_page(source: str | None, title: str | None, nodes: list[Node], model:
 
 # -- the three passes -------------------------------------------------------
 
-_ROWS = "what string, source_id string, node bigint, word string, n bigint, m bigint, lo bigint, hi bigint"
+_ROWS = "what string, source_id string, node bigint, word string, n bigint, m bigint, title bigint, rest bigint, nodes array<bigint>"
 
 
 def _signed(h: int) -> int:
@@ -184,10 +188,10 @@ def _signed(h: int) -> int:
 
 
 def _rows(rows):
-    """An Arrow batch of rows; the last two columns may be left out."""
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4]
-    cols = list(zip(*((*r, None, None)[:8] for r in rows))) if rows else [[]] * 8
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["what", "source_id", "node", "word", "n", "m", "lo", "hi"])
+    """An Arrow batch of rows; the last three columns may be left out."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64())]
+    cols = list(zip(*((*r, None, None, None)[:9] for r in rows))) if rows else [[]] * 9
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["what", "source_id", "node", "word", "n", "m", "title", "rest", "nodes"])
 
 
 def _pages(batches, *columns):
@@ -219,7 +223,7 @@ def _summarise(batches):
 
 
 def _count(wanted):
-    """Pass 2: exact counts of the candidates by source (m: right after a line of the report; lo, hi: least and greatest hash of their pages' titles) and of the openings of items and titles."""
+    """Pass 2: exact counts of the candidates by source (m: right after a line of the report) and of the openings of items and titles; of each page its candidates and what tells its report from others (n: lines of its remainder, m: whether much of it comes back)."""
 
     def run(batches):
         local, common = wanted.value
@@ -227,12 +231,10 @@ def _count(wanted):
         after: Counter = Counter()
         words: Counter = Counter()
         places: Counter = Counter()
-        lo: dict = {}
-        hi: dict = {}
         marked: Counter = Counter()
-        counted: Counter = Counter()
         ends: set[int] = set()
         for rows in _pages(batches, "source_id", "title", "body"):
+            pages = []
             for source, title, body in rows:
                 if title and title.strip():
                     words["title", lead(title.strip())] += 1
@@ -240,17 +242,11 @@ def _count(wanted):
                     continue
                 nodes = page_nodes(body)
                 mine, shared = countable(nodes)
-                if copied(nodes, local.get(source, ()), common):
-                    continue
-                counted[source] += 1
+                again, rest = remainder(nodes, local.get(source, ()), common)
                 seen = {k for k in mine if k in common or k in local.get(source, ())} | {k for k in shared if k in common}
                 counts.update((source, k) for k in seen)
-                named = fold(title) if title else b""
-                if named:
-                    mark = _signed(_key(named))
-                    for k in seen:
-                        lo[source, k] = min(mark, lo.get((source, k), mark))
-                        hi[source, k] = max(mark, hi.get((source, k), mark))
+                named = " ".join(title.lower().split()) if title else ""
+                pages.append(("page", source, None, None, len(rest), int(again), _signed(_key(named.encode("utf-8", "surrogatepass"))) if named else None, _signed(min(rest, default=0)), [_signed(k) for k in seen]))
                 ends.update(k for k in shared - mine if k in common)
                 before = parent = ""
                 for i, n in enumerate(nodes):
@@ -268,18 +264,49 @@ def _count(wanted):
                     else:
                         parent = n.kind
                     before = n.kind
-        yield _rows([("node", s, _signed(k), "last" if k in ends else None, n, after[s, k], lo.get((s, k)), hi.get((s, k))) for (s, k), n in counts.items()])
+            yield _rows(pages)
+        yield _rows([("node", s, _signed(k), "last" if k in ends else None, n, after[s, k]) for (s, k), n in counts.items()])
         yield _rows([("place", s, _signed(k), None, n, 0) for (s, k), n in places.items()])
         yield _rows([(what, None, None, w, n, marked[what, w]) for (what, w), n in words.items()])
-        yield _rows([("counted", s, None, None, n, 0) for s, n in counted.items()])
 
     return run
 
 
-def copied(nodes: list[Node], local, common) -> bool:
-    """Whether much of a page comes back elsewhere: then it is one of many copies of a report, and says nothing of the template."""
-    own = [n.key in local or n.key in common for n in nodes if n.kind in (P, T, C)]
-    return len(own) >= 5 and sum(own) >= COPIED_SHARE * len(own)
+def remainder(nodes: list[Node], local, common) -> tuple[bool, set[int]]:
+    """Whether much of a page comes back elsewhere, and the lines of a report on it that don't. A short page without such lines is known by its other lines."""
+    own, parent = [], B
+    for n in nodes:
+        if n.kind in (P, T, C) or (n.kind == L and parent != B):
+            own.append(n)
+        if n.kind != L:
+            parent = n.kind
+    back = [n.key in local or n.key in common for n in own if n.kind != L]
+    rest = {n.key for n in own if n.key not in local and n.key not in common}
+    if not rest and len(own) < 5:
+        rest = {n.key for n in nodes if n.key not in local and n.key not in common}
+    return len(back) >= 5 and sum(back) >= COPIED_SHARE * len(back), rest
+
+
+def _reports(pages: DataFrame) -> DataFrame:
+    """``source_id, report, nodes``: every page with the report it tells, equal for copies and retellings of one.
+
+    Copies say nothing of a template, so a node counts once for each report it stands with. Pages that tell little
+    beside lines that come back, for their source, are one report (0). Pages of one title are if their remainders
+    agree or, against other titles of the source, are small. All others are told apart by their remainder.
+    """
+    # what pages tell, by source and by title
+    titled = pages.groupBy("source_id", "title").agg(F.sum("n").alias("told"), F.count("*").alias("k"))
+    whole = pages.groupBy(F.col("source_id").alias("s")).agg(F.sum("n").alias("all_told"), F.count("*").alias("all_k"))
+    little = F.col("told") / F.col("k") < COPIED_SHARE * (F.col("all_told") - F.col("told")) / (F.col("all_k") - F.col("k"))
+    small = titled.filter("title IS NOT NULL AND k > 1").join(whole, F.expr("source_id <=> s")).filter((F.col("all_k") > F.col("k")) & little)
+    small = small.select(F.col("source_id").alias("of"), F.col("title").alias("small"))
+    copy = (F.col("rest") == 0) | ((F.col("m") == 1) & (F.col("n") < COPIED_SHARE * F.col("all_told") / F.col("all_k")))
+    one = pages.join(whole, F.expr("source_id <=> s")).withColumn("copy", copy)
+    agreeing = one.filter("title IS NOT NULL AND NOT copy").groupBy(F.col("title").alias("agreeing"), "rest").agg(F.count("*").alias("k")).groupBy("agreeing").agg(F.max("k").alias("most"), F.sum("k").alias("k"))
+    agreeing = agreeing.filter((F.col("most") > 1) & (F.col("most") > RETOLD_SHARE * F.col("k"))).select("agreeing")
+    one = one.join(small, F.expr("source_id <=> of AND title = small"), "left").join(agreeing, F.expr("title = agreeing"), "left")
+    report = F.when(F.col("copy"), F.lit(0).cast("long")).when(F.coalesce("small", "agreeing").isNotNull(), F.col("title")).otherwise(F.col("rest"))
+    return one.select("source_id", report.alias("report"), "nodes")
 
 
 def _label(wanted):
@@ -333,19 +360,20 @@ def induce(docs: DataFrame) -> list[Model]:
             local.setdefault(r["source_id"], set()).add(_unsigned(r["node"]))
         wanted = spark.sparkContext.broadcast((local, common))
         pages = slim.filter(_block(blocks, block)) if blocks > 1 else slim
-        return materialize(pages.select("source_id", "title", "body").mapInArrow(_count(wanted), _ROWS).groupBy("what", "source_id", "node", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), f"node-counts-{block}")
+        return materialize(pages.select("source_id", "title", "body").mapInArrow(_count(wanted), _ROWS), f"node-counts-{block}")
 
     parts = [counts(b) for b in range(blocks)]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    # what stands on pages of one title only is a line of that report, told several times
-    nodes = every.filter("what = 'node'")
-    told_once = F.coalesce(F.col("lo") == F.col("hi"), F.lit(False))
-    over_all = materialize(nodes.groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("all_n"), F.sum("m").alias("all_m"), F.count("*").alias("sources"), F.max("word").alias("last")), "nodes-of-all")
+    reports = materialize(_reports(every.filter("what = 'page'")), "reports")
+    standing = reports.select("source_id", "report", F.explode("nodes").alias("node"))
+    nodes = every.filter("what = 'node'").groupBy("source_id", "node").agg(F.sum("n").alias("pages_n"), F.sum("m").alias("m"), F.max("word").alias("last"))
+    over_all = nodes.groupBy("node").agg(F.sum("pages_n").alias("pages_n"), F.sum("m").alias("all_m"), F.count("*").alias("sources"), F.max("last").alias("last"))
+    over_all = materialize(over_all.join(standing.groupBy("node").agg(F.countDistinct("report").alias("all_n")), "node"), "nodes-of-all")
     # a last sentence that always ends one and the same line is that line's, not a constant of notices
-    shared = over_all.filter(~told_once & (F.col("all_n") >= enough) & (F.col("sources") >= 2) & ~(F.col("last").isNotNull() & (F.col("all_m") >= 0.5 * F.col("all_n")))).collect()
-    signoffs = frozenset(_unsigned(r["node"]) for r in shared if r["all_m"] >= SIGNOFF_RATE * r["all_n"])
+    shared = over_all.filter((F.col("all_n") >= enough) & (F.col("sources") >= 2) & ~(F.col("last").isNotNull() & (F.col("all_m") >= 0.5 * F.col("pages_n")))).collect()
+    signoffs = frozenset(_unsigned(r["node"]) for r in shared if r["all_m"] >= SIGNOFF_RATE * r["pages_n"])
     openings = every.filter("what IN ('item', 'title')").groupBy("what", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter(F.col("n") >= enough).collect()
     titles = every.filter("what = 'title'").agg(F.sum("n")).head()[0] or 1
     of_all = Model(
@@ -354,12 +382,13 @@ def induce(docs: DataFrame) -> list[Model]:
         item_leads=frozenset(r["word"] for r in openings if r["what"] == "item" and r["n"] < 2 * r["m"]),
         title_leads=frozenset(r["word"] for r in openings if r["what"] == "title" and r["n"] >= 0.002 * titles),
     )
-    kept = nodes.filter(~told_once & F.col("source_id").isNotNull() & (F.col("n") >= MIN_PAGES)).select("source_id", "node", "n").join(over_all.select("node", "all_n"), "node")
-    kept = kept.join(every.filter("what = 'counted'").groupBy("source_id").agg(F.sum("n").alias("counted")), "source_id").join(sizes, "source_id")
+    kept = standing.filter("source_id IS NOT NULL").groupBy("source_id", "node").agg(F.countDistinct("report").alias("n"), F.count("*").alias("pages_n"))
+    kept = kept.filter(F.col("n") >= MIN_PAGES).join(over_all.select("node", "all_n"), "node")
+    kept = kept.join(reports.groupBy("source_id").agg(F.countDistinct("report").alias("counted")), "source_id").join(sizes, "source_id")
     share = F.col("n") / F.greatest(F.col("counted"), MIN_SHARE_OF_PAGES * F.col("pages"))
     constant = (share >= CONSTANT_SHARE) | ((F.col("n") >= LOCAL_PAGES) & (share >= LOCAL_SHARE) & (share >= LIFT * F.col("all_n") / F.lit(max(total, 1))))
-    place = every.filter("what = 'place'").select("source_id", "node", F.col("n").alias("place"))
-    kept = materialize(kept.filter(constant).join(place, ["source_id", "node"], "left").select("source_id", "node", (F.col("place") / F.col("n")).alias("place")), "constants")
+    place = every.filter("what = 'place'").groupBy("source_id", "node").agg(F.sum("n").alias("place"))
+    kept = materialize(kept.filter(constant).join(place, ["source_id", "node"], "left").select("source_id", "node", (F.col("place") / F.col("pages_n")).alias("place")), "constants")
     models = []
     for b in range(blocks):
         order: dict = {}

@@ -180,3 +180,27 @@ def test_copies_are_no_template(spark):
     more, lines = site_pages(r, 40, "sitetwo")
     got = {tuple(x) for x in wrapper.template_lines(spark.createDataFrame(rows + more, DOC)).collect()}
     assert len(got - truth - lines) <= 0.03 * len(truth | lines)
+
+
+def standing_pages(r, n, source, title, copies=0):
+    """Pages with three standing notices in prose, and these lines."""
+    rows, truth = [], set()
+    notices = [h.sentence(r) for _ in range(3)]
+    hot = [h.sentence(r) for _ in range(9)]
+    for i in range(n):
+        body = hot if i < copies else [h.sentence(r) for _ in range(9)]
+        rows.append((f"{source}{i}", source, title(i), "\n".join([notices[0], "## What happened", *body, *notices[1:]])))
+        truth |= {(f"{source}{i}", no) for no in (1, 12, 13)}
+    return rows, truth
+
+
+@pytest.mark.parametrize("title", [lambda i: "Status of our site", lambda i: f"Incident {4711 + i}", lambda i: "Only one is titled" if i == 7 else None, lambda i: ("Outages", "Maintenance")[i % 2]])
+def test_alike_titles_are_no_copies(spark, title):
+    rows, truth = standing_pages(h.rng(14), 40, "siteone", title)
+    assert {tuple(x) for x in wrapper.template_lines(spark.createDataFrame(rows, DOC)).collect()} == truth
+
+
+@pytest.mark.parametrize("title", [lambda i: "Status of our site", lambda i: f"Why it broke {i if i > 15 else ''}", lambda i: None])
+def test_copies_among_alike_titles(spark, title):
+    rows, truth = standing_pages(h.rng(15), 50, "siteone", title, copies=15)
+    assert {tuple(x) for x in wrapper.template_lines(spark.createDataFrame(rows, DOC)).collect()} == truth
