@@ -204,3 +204,23 @@ def test_alike_titles_are_no_copies(spark, title):
 def test_copies_among_alike_titles(spark, title):
     rows, truth = standing_pages(h.rng(15), 50, "siteone", title, copies=15)
     assert {tuple(x) for x in wrapper.template_lines(spark.createDataFrame(rows, DOC)).collect()} == truth
+
+
+def cluttered_pages(r, n, source, copies=0, edits=0):
+    """Pages of six standing notices and five sentences of report, and the notices' lines; ``copies`` tell one report, with ``edits`` of its sentences changed."""
+    rows, truth = [], set()
+    notices = [h.sentence(r) for _ in range(6)]
+    hot = [h.sentence(r) for _ in range(5)]
+    for i in range(n):
+        body = [h.sentence(r) for _ in range(5)]
+        if i < copies:
+            body = body[:edits] + hot[edits:]
+        rows.append((f"{source}{i}", source, f"Why {r.choice(h.NOUNS)} {r.choice(h.VERBS)} {r.choice(h.NOUNS)}", "\n".join([*notices[:3], *body, *notices[3:]])))
+        truth |= {(f"{source}{i}", no) for no in (1, 2, 3, 9, 10, 11)}
+    return rows, truth
+
+
+@pytest.mark.parametrize(("copies", "edits"), [(0, 0), (12, 0), (12, 1)])
+def test_cluttered_pages_are_no_copies(spark, copies, edits):
+    rows, truth = cluttered_pages(h.rng(16), 60, "siteone", copies, edits)
+    assert {tuple(x) for x in wrapper.template_lines(spark.createDataFrame(rows, DOC)).collect()} == truth
