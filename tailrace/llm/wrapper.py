@@ -11,9 +11,9 @@ learned from runs whose parent is certain. Sentences that stand unchanged in
 pages of several sources are constants of all templates; those that always
 follow report lines are the report's own.
 
-The constants of a source, in the order of their mean place, are its wrapper. The head of each page (all
-before its first certain line) is aligned with it by simple tree matching; what is the title of a page that
-doesn't say so is looked for below the last node that matches.
+The constants of a source, in the order of their mean place, are its wrapper. The head (all before
+the first certain line) of a page without a title is aligned with it by simple tree matching, and the title is
+looked for below the last node that matches. Other pages aren't aligned.
 
 Pages that tell the same report count once (``_reports``), whatever their titles.
 
