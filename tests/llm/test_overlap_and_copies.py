@@ -77,23 +77,109 @@ def test_cuts_move_with_the_text(t, at, insert):
     assert tail <= {e - len(b) for e in split_overlap.cuts(b)}
 
 
+def near_limit(r, n, least=0.7):
+    """Two texts of about ``n`` words, edited word by word as far as their likeness stays at ``least`` or more."""
+    a = [r.choice(h.NOUNS) + r.choice(h.NOUNS) for _ in range(n)]
+    b = a
+    for _ in range(60):
+        c, i = list(b), r.choice((0, len(b) - 1, r.randrange(len(b))))
+        what = r.randrange(4)
+        if what == 0:
+            c[i] = r.choice(h.NOUNS) + "x"
+        elif what == 1:
+            c.insert(i, r.choice(h.NOUNS) + "y")
+        elif what == 2:
+            del c[i]
+        else:
+            c = c[i:] + c[:i]
+        if h.likeness(" ".join(a), " ".join(c)) >= least:
+            b = c
+    return " ".join(a), " ".join(b)
+
+
+def test_overlap_by_length(spark):
+    r = h.rng(11)
+    rows, want = [], {}
+    for n in (6, 8, 10, 12, 16, 20, 30, 50, 70, 100, 130, 160, 185, 220):
+        for _ in range(25):
+            a, b = near_limit(r, n)
+            i = 2 * len(want)
+            want[i, i + 1] = n
+            rows += [(i, a, "train", "s"), (i + 1, b, "test", "s")]
+    got = {tuple(x) for x in SplitOverlap(spark.createDataFrame(rows, EXAMPLE), 0.7).pairs().collect()}
+    assert {n for p, n in want.items() if p not in got} == set() and got <= brute(rows, 0.7)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("a b c d e f g".split()), min_size=5, max_size=40), st.lists(st.sampled_from("a b c d e f g".split()), min_size=5, max_size=40))
+def test_short_records_overlap_as_far_as_they_are_alike(a, b):
+    assert split_overlap.overlap_of(a, b, 0.7) >= h.likeness(" ".join(a), " ".join(b)) - 1e-9
+
+
 @pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
 def test_bagminhash_is_unbiased(share):
     g = np.random.default_rng(4)
     base = g.integers(0, 2**63, 300).astype(np.uint64)
     k = int(300 * 2 * share / (1 + share))
     other = np.concatenate([base[:k], g.integers(0, 2**63, 300 - k).astype(np.uint64)])
-    regs = bagminhash.signatures(np.repeat([0, 1], 300), np.concatenate([base, other]), np.ones(600), 2, 4096)
-    assert (regs[0] == regs[1]).mean() == pytest.approx(k / (600 - k), abs=0.04)
+    regs, floor = bagminhash.signatures(np.repeat([0, 1], 300), np.concatenate([base, other]), np.ones(600), 2, 4096)
+    assert (regs[0] == regs[1]).mean() == pytest.approx(k / (600 - k), abs=0.04) and (regs == floor).all()
 
 
 def test_bagminhash_weights():
-    g = np.random.default_rng(5)
-    base = g.integers(0, 2**63, 200).astype(np.uint64)
-    counts = np.concatenate([np.where(np.arange(200) < 100, 4, 1), np.ones(200)])
-    regs = bagminhash.signatures(np.repeat([0, 1], 200), np.concatenate([base, base]), counts, 2, 4096)
-    assert (regs[0] == regs[1]).mean() == pytest.approx(800 / (100 * 6 + 100 * 4), abs=0.04)
-    assert bagminhash.bag_bands([np.zeros(0, dtype=np.uint64), base], 8, 4)[0] is None
+    """Every two counts up to 32 agree in as many registers as the lesser is of the greater; the support's signature doesn't depend on counts."""
+    keys = np.random.default_rng(5).integers(0, 2**63, 64).astype(np.uint64)
+    both = {c: bagminhash.signatures(np.zeros(64, dtype=np.int64), keys, np.full(64, c), 1, 8192) for c in range(1, 33)}
+    for x, y in itertools.combinations(both, 2):
+        assert (both[x][0] == both[y][0]).mean() == pytest.approx(x / y, abs=0.03) and (both[x][1] == both[y][1]).all()
+    assert bagminhash.bag_bands([np.zeros(0, dtype=np.uint64), keys], 8, 4)[0] is None
+
+
+def test_repeated_passages(spark):
+    """A passage told several times finds the texts that tell it as often, nearly as often, and once."""
+    r = h.rng(12)
+    rows, want, equal = [], set(), set()
+    for times in (1, 2, 4, 8, 15, 64):
+        for j in range(8):
+            base, once = h.report(r, 6), h.report(r, 6)
+            a, b = f"{times:02}-{j}-a", f"{times:02}-{j}-b"
+            rows += [(a, "s", None, once + " " + " ".join([base] * times)), (b, "s", None, once + " " + base)]
+            want.add((a, b))
+            c, d = f"{times:02}-{j}-c", f"{times:02}-{j}-d"
+            other = h.report(r, 3)
+            rows += [(c, "s", None, " ".join([other] * 15)), (d, "s", None, " ".join([other] * 16))]
+            equal.add((c, d))
+    near = NearDuplicates(spark.createDataFrame(rows, DOC), 0.7, pages=False)
+    got = {tuple(x) for x in near.pairs().collect()}
+    brute_pairs = {tuple(sorted((x[0], y[0]))) for x, y in itertools.combinations(rows, 2) if h.likeness(x[3], y[3]) >= 0.7}
+    assert got == brute_pairs and equal <= got and want <= got
+    bags = {tuple(x) for x in near.pairs("overlap").collect()}
+    assert equal <= bags and not {p for p in want if p[0][:2] in ("08", "15", "64")} & bags
+
+
+def test_groups_of_a_hot_text(spark):
+    """Bands whose members fall into several groups are compared in full: groups are the components of all links."""
+    r = h.rng(13)
+    base = h.report(r, 30)
+    rows = [(f"h{i:03}", "s", None, h.edited(r, base, i % 9)) for i in range(60)] + [(f"o{i:02}", "s", None, h.report(r)) for i in range(20)]
+    near = NearDuplicates(spark.createDataFrame(rows, DOC), 0.7, pages=False)
+    group = {x["id"]: x["group_id"] for x in near.groups().collect()}
+    root = {x[0]: x[0] for x in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in near.pairs().collect():
+        root[find(a)] = find(b)
+    sets: dict = {}
+    for x in root:
+        sets.setdefault(find(x), set()).add(x)
+    found: dict = {}
+    for x, g in group.items():
+        found.setdefault(g, set()).add(x)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in sets.values() if len(v) > 1)
 
 
 def pages():
