@@ -39,7 +39,7 @@ P4_KEY = """CASE WHEN event_id IS NULL THEN NULL ELSE
 
 @query(f"SELECT key AS event_id FROM (SELECT {P4_KEY} AS key FROM bus_events) WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages.repeated_messages(table(spark, sf_dir, "bus_events")).select("event_id")
+    return messages.repeated_messages(table(spark, sf_dir, "bus_events"))
 
 
 @query(f"""WITH k AS (SELECT *, {P4_KEY} AS key FROM bus_events),
