@@ -4,8 +4,9 @@ Each item is split into pieces of ``PIECE`` words, one more than the word edits
 the item in it, with no more edits than that, has some piece unharmed; so has every text that holds
 ``RUN`` words of the item in a row, since a run of 2 x PIECE - 1 words covers a whole piece. All pieces of a block of
 items are looked up at once by an Aho-Corasick automaton. Around each hit, Myers' bit-parallel algorithm
-finds the least number of word edits between the item and any stretch of the text, and the longest run of
-words in common through the hit is measured.
+finds the least number of word edits between a stretch of the text and the item, and between a stretch of the text
+and any ``RUN`` words in a row of the item that hold the piece: none means that they stand in the text as they are.
+The longest run of words in common through the hit is told along.
 
 Texts are read once per block of items and never shuffled. A block holds ``BLOCK_WORDS`` words of items,
 which bounds the automaton; any number of items is worked off in blocks.
@@ -13,6 +14,9 @@ which bounds the automaton; any number of items is worked off in blocks.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +28,7 @@ RUN = 13
 PIECE = (RUN + 1) // 2
 BLOCK_WORDS = 200_000
 
-_FOUND = "doc_id bigint, item_id bigint, run int, edits int, item_words int"
+_FOUND = "doc_id bigint, item_id bigint, run int, edits int, run_edits int, item_words int"
 
 
 def pieces(ws: list[str]) -> list[tuple[int, list[str]]]:
@@ -92,31 +96,38 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not where
 
-    def find(self, text: str) -> dict[int, tuple[int, int]]:
-        """For each item with a hit: (longest run in common, least edits)."""
+    def find(self, text: str) -> dict[int, tuple[int, int, int | None]]:
+        """For each item with a hit: (longest run in common, least edits to the item, least edits to ``RUN`` of its words or None if it has fewer)."""
         if self.empty:
             return {}
         ws = words(text)
         line = " " + " ".join(ws) + " "
+        starts: list[int] = []
         hits: dict[int, list[tuple[int, int, int]]] = {}
         for end, (size, spots) in self.automaton.iter(line):
-            at_text = line.count(" ", 0, end - size + 1)
+            if not starts:  # where each word begins, laid out once
+                starts = list(accumulate((len(w) + 1 for w in ws), initial=0))
+            at_text = bisect_left(starts, end - size + 1)
             for i, at_item, n in spots:
                 hits.setdefault(i, []).append((at_item, at_text, n))
-        out = {}
-        for i, spots in hits.items():
-            item = self.items[i]
-            run = max(common_run(item, ws, *s) for s in spots)
-            budget = len(pieces(item)) - 1
-            edits = len(item)
-            done: tuple[int, int] | None = None
-            for at_item, at_text, _ in spots:
-                window = (max(0, at_text - at_item - budget), at_text - at_item + len(item) + budget)
-                if window != done:
-                    edits = min(edits, myers(item, ws[window[0] : window[1]]))
-                    done = window
-            out[i] = (run, edits)
-        return out
+        return {i: self._verify(self.items[i], ws, spots) for i, spots in hits.items()}
+
+    def _verify(self, item: list[str], ws: list[str], spots: list[tuple[int, int, int]]) -> tuple[int, int, int | None]:
+        budget = len(pieces(item)) - 1
+        run, edits = 0, len(item)
+        in_run = RUN if len(item) >= RUN else None
+        seen = set()
+        for at_item, at_text, n in spots:
+            low = at_text - at_item  # where the item would begin
+            run = max(run, common_run(item, ws, at_item, at_text, n))
+            if edits and low not in seen:  # hits of one place share it
+                seen.add(low)
+                edits = min(edits, myers(item, ws[max(0, low - budget) : max(0, low + len(item) + budget)]))
+            for at in range(max(0, at_item + n - RUN), min(at_item, len(item) - RUN) + 1):
+                if not in_run:
+                    break
+                in_run = min(in_run, myers(item[at : at + RUN], ws[max(0, low + at) : max(0, low + at + RUN)]))
+        return run, edits, in_run
 
 
 def _scan(block):
@@ -130,17 +141,18 @@ def _scan(block):
             rows = []
             for d, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text"))):
                 if text:
-                    rows += [(d, i, r, e, len(m.items[i])) for i, (r, e) in m.find(text).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "run", "edits", "item_words"])
+                    rows += [(d, i, *found, len(m.items[i])) for i, found in m.find(text).items()]
+            kinds = {"doc_id": pa.int64(), "item_id": pa.int64(), "run": pa.int32(), "edits": pa.int32(), "run_edits": pa.int32(), "item_words": pa.int32()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds.values())], list(kinds))
 
     return run
 
 
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, item_id, run, edits, item_words`` of every document and item that share a piece.
+    """``doc_id, item_id, run, edits, run_edits, item_words`` of every document and item that share a piece.
 
     ``run``: most words in a row they share; ``edits``: least word edits between the item and any stretch of
-    the text. Null and empty texts and items give no row; equal items are found each; repeated documents give
+    the text; ``run_edits``: the same for ``RUN`` words in a row of the item, null if it has fewer. Null and empty texts and items give no row; equal items are found each; repeated documents give
     repeated rows; empty tables an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
@@ -164,6 +176,6 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, max_edit_share: float = 0.1) -> DataFrame:
-    """``leaked`` restricted to a shared run of ``run`` words or to edits within ``max_edit_share`` of the item's length."""
-    return leaked(docs, items).filter((F.col("run") >= run) | (F.col("edits") <= F.col("item_words") * max_edit_share))
+def leaked_passages(docs: DataFrame, items: DataFrame, max_edit_share: float = 0.1) -> DataFrame:
+    """``leaked`` restricted to pairs with a whole run of ``RUN`` words or with edits within ``max_edit_share`` of the item's length."""
+    return leaked(docs, items).filter((F.col("run_edits") == 0) | (F.col("edits") <= F.col("item_words") * max_edit_share))

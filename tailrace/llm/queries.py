@@ -100,7 +100,7 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).filter(F.col("run") >= leaks.RUN).select("doc_id", "item_id").distinct()
+    return _leaks(spark, sf_dir).filter("run_edits = 0").select("doc_id", "item_id").distinct()
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +151,61 @@ _RECURRING = f"""l AS (SELECT * FROM ({_FOLDED}) WHERE k <> '' AND NOT regexp_ma
  n AS (SELECT source_id, count(*) AS m FROM source_documents GROUP BY source_id), g AS (SELECT source_id, k FROM l JOIN n USING (source_id) GROUP BY source_id, k HAVING count(DISTINCT id) >= 4 AND count(DISTINCT id) >= 0.2 * max(m))"""
 
 
+# fixed patterns, as in ``truncation``
+_MARK = r"(\s*(\[\s*(\.{2,}|…|truncated|cut|more)\s*\]|\(\s*(\.{3}|…|truncated)\s*\)|…|\.{3,}|\x{FFFD}|<truncated>|\[\+\d+ chars\]))+\s*$"
+_STOP = r"[.!?][\"'”’)\]*_]*$"
+_OTHER = r"^(\s*([-*•+–—]|\d{1,3}[.)])\s|\s*\d{1,2}:\d{2}\b|    |\s*#|https?://)"
+_BLANK = "' ' || chr(9) || chr(13) || chr(10) || chr(12) || chr(160)"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _cut_words(line: str) -> str:
+    number = "'(0)[.,:/-](0)', '\\1_\\2', 'g'"
+    masked = f"regexp_replace(regexp_replace(translate(lower({line}), '123456789', '000000000'), {number}), {number})"
+    return f"regexp_split_to_array(regexp_replace({masked}, '[.!?]+(\\s|$)', ' . \\1', 'g'), '[^\\p{{L}}0._]+')"
+
+
+def _cut_kind(line: str) -> str:
+    return f"CASE WHEN regexp_matches(left({line}, 16), {_quoted(_OTHER)}) THEN 'other' WHEN length({line}) - length(replace({line}, ' ', '')) >= 7 THEN 'prose' ELSE 'short' END"
+
+
+def _cut_stop(line: str) -> str:
+    return f"regexp_matches(right(rtrim({line}, {_BLANK}), 8), {_quoted(_STOP)})"
+
+
+def _cut_sql() -> str:
+    """CTEs down to ``judged (doc_id, cut)``: one row for each text that ends without a stop."""
+    levels = {"3": "kind, a, b, c", "2": "kind, b, c", "1": "kind, c", "3a": "a, b, c", "2a": "b, c", "1a": "c"}
+    sums = ", ".join(f"s{n} AS (SELECT {k}, sum(inside) AS i{n}, sum(ends) AS e{n} FROM tri GROUP BY {k})" for n, k in levels.items())
+    joins = " ".join(f"JOIN s{n} USING ({k})" for n, k in levels.items())
+    shares = {n: f"CASE WHEN i{n} + e{n} - 1 >= 2 THEN (e{n} - 1) / (i{n} + e{n} - 1) END" for n in levels}
+    return f"""t AS (SELECT doc_id, source, trim(text, {_BLANK}) AS text FROM documents),
+ m AS (SELECT *, regexp_matches(right(text, 40), {_quoted(_MARK)}) AS marked FROM t WHERE text <> ''),
+ body AS (SELECT doc_id, source, marked, CASE WHEN marked THEN rtrim(substr(text, 1, greatest(length(text) - 40, 0)) || regexp_replace(right(text, 40), {_quoted(_MARK)}, ''), {_BLANK}) ELSE text END AS body FROM m),
+ line AS (SELECT unnest(string_split(body, chr(10))) AS line, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS pos, len(string_split(body, chr(10))) AS n FROM body),
+ w AS (SELECT CASE WHEN n > 1 AND pos = 1 AND NOT {_cut_stop("line")} THEN 'title' ELSE {_cut_kind("line")} END AS kind, pos = n AS final, {_cut_words("line")} AS w FROM line),
+ word AS (SELECT kind, final, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+ shaped AS (SELECT kind, final, CASE WHEN i > 1 THEN w[i - 1] END AS p, CASE WHEN i > 2 THEN w[i - 2] END AS q, w[i] AS c, CASE WHEN i < len(w) THEN w[i + 1] END AS d FROM word WHERE w[i] NOT IN ('', '.')),
+ inner_tri AS (SELECT kind, CASE WHEN coalesce(p, '') IN ('', '.') OR coalesce(q, '') IN ('', '.') THEN '^' ELSE q END AS a, CASE WHEN coalesce(p, '') IN ('', '.') THEN '^' ELSE p END AS b, c,
+ count(*) FILTER (coalesce(d, '') <> '' AND d <> '.') AS inside, count(*) FILTER (coalesce(d, '') = '' AND NOT final) AS ends FROM shaped GROUP BY ALL),
+ lastline AS (SELECT doc_id, source, marked, length(body) AS size, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))[-1] AS line FROM body),
+ lastwords AS (SELECT doc_id, source, marked, size, {_cut_kind("line")} AS kind, {_cut_stop("line")} AS ended, list_filter({_cut_words("line")}, lambda x: x NOT IN ('', '.')) AS v FROM lastline WHERE line IS NOT NULL),
+ last AS (SELECT doc_id, source, marked, size, kind, ended, CASE WHEN len(v) > 2 THEN v[-3] ELSE '^' END AS a, CASE WHEN len(v) > 1 THEN v[-2] ELSE '^' END AS b, v[-1] AS c FROM lastwords WHERE len(v) > 0),
+ tri AS (SELECT * FROM inner_tri UNION ALL SELECT kind, a, b, c, 0, count(DISTINCT (source, size)) FROM last WHERE NOT ended GROUP BY kind, a, b, c),
+ {sums}, s0 AS (SELECT kind, sum(ends) / greatest(sum(inside) + sum(ends), 1) AS by_kind FROM tri GROUP BY kind),
+ pair AS (SELECT b, c AS longer, sum(inside + ends) AS n FROM tri GROUP BY b, c), single AS (SELECT longer, sum(n) AS n FROM pair GROUP BY longer),
+ open AS (SELECT * FROM last {joins} JOIN s0 USING (kind) WHERE NOT ended),
+ piece AS (SELECT DISTINCT b, c FROM open WHERE NOT regexp_matches(c, '^[0_]+$')),
+ longer2 AS (SELECT b, c, sum(n) AS longer2 FROM piece JOIN pair USING (b) WHERE length(longer) > length(c) AND starts_with(longer, c) GROUP BY b, c),
+ longer1 AS (SELECT c, sum(n) AS longer1 FROM (SELECT DISTINCT c FROM piece) JOIN single ON length(longer) > length(c) AND starts_with(longer, c) GROUP BY c),
+ judged AS (SELECT doc_id, coalesce(CASE WHEN kind = 'short' THEN coalesce({shares["3"]}, {shares["3a"]}, {shares["2a"]}) ELSE coalesce({shares["3"]}, {shares["2"]}, {shares["1"]}, by_kind) END < 0.05, false) OR (marked AND kind = 'short')
+ OR (NOT regexp_matches(c, '^[0_]+$') AND ((i2a = 0 AND longer2 > 0 AND e2a - 1 <= 0.05 * longer2) OR (i1a = 0 AND longer1 > 0 AND e1a - 1 <= 0.05 * longer1))) AS cut
+ FROM open LEFT JOIN longer2 USING (b, c) LEFT JOIN longer1 USING (c))"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that can be expressed in it and end in time on whole tables; the others are held against brute force in the tests."""
     return {
@@ -164,5 +219,8 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"WITH {_RECURRING} SELECT id, no AS line_no FROM l JOIN g USING (source_id, k)",
         "p3_stripped": f"""WITH {_RECURRING}, gone AS (SELECT id, list(no) AS x FROM l JOIN g USING (source_id, k) GROUP BY id)
  SELECT s.id, source_id, CASE WHEN x IS NULL THEN body ELSE array_to_string(list_filter(string_split(body, chr(10)), lambda line, i: NOT list_contains(x, i)), chr(10)) END AS body FROM source_documents s LEFT JOIN gone USING (id)""",
+        "p10_found": f"WITH {_cut_sql()} SELECT doc_id FROM judged WHERE coalesce(cut, false)",
+        "p10_rates": f"""WITH {_cut_sql()}, n AS (SELECT source, count(*) AS n_docs, count(DISTINCT CASE WHEN cut THEN doc_id END) AS n_truncated FROM documents LEFT JOIN judged USING (doc_id) GROUP BY source)
+ SELECT *, n_truncated / n_docs AS share FROM n""",
         "p8_found": f"WITH {_runs('d', 'doc_id', 'text', 'documents', 13)}, {_runs('i', 'item_id', 'text', 'eval_items', 13)} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
     }

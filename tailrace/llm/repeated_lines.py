@@ -11,7 +11,8 @@ Three passes over the bodies, none of which shuffles a text:
 3. confirmed lines are marked (or cut out) with the broadcast set of them.
 
 The candidates of a source number at most (lines per document) / (share / 2).
-They are broadcast only while they fit; beyond that passes 2 and 3 join by key.
+They are broadcast only while they fit; beyond that passes 2 and 3 join by key, with the
+same result: both count rows, and rows are marked by a digest of all that decides on them.
 """
 
 from __future__ import annotations
@@ -121,19 +122,31 @@ def _counts(wanted):
     return run
 
 
-def _exploded(keyed: bool = True):
-    def run(batches):
-        for rows in _batches(batches, "id", "source_id", "body"):
-            ids, sources, numbers, keys = [], [], [], []
-            for id_, source, body in rows:
-                if source is None or not body:
-                    continue
-                for no, k in enumerate(line_keys(body), 1):
-                    if k is not None:
-                        ids.append(id_), sources.append(source), numbers.append(no), keys.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sources, pa.string()), pa.array(numbers, pa.int64()), pa.array(keys, pa.int64())], ["id", "source_id", "line_no", "line"])
+_LINES = "row string, id string, source_id string, line_no bigint, line bigint, first boolean"
 
-    return run
+
+def _row_key(id_: str | None, source: str, body: str) -> str:
+    """One key for equal rows: what recurs in one of them recurs in all."""
+    h = xxhash.xxh3_128(body.encode("utf-8", "surrogatepass"))
+    for part in (source, id_):
+        h.update(b"\0" if part is None else b"\1" + part.encode("utf-8", "surrogatepass") + b"\0")
+    return h.hexdigest()
+
+
+def _exploded(batches):
+    """Every line that may recur; ``first`` marks the first line of its kind in a row, so that their number is the number of rows."""
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+    for rows in _batches(batches, "id", "source_id", "body"):
+        out = []
+        for id_, source, body in rows:
+            if source is None or not body:
+                continue
+            key, met = _row_key(id_, source, body), set()
+            for no, k in enumerate(line_keys(body), 1):
+                if k is not None:
+                    out.append((key, id_, source, no, k, k not in met))
+                    met.add(k)
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["row", "id", "source_id", "line_no", "line", "first"])
 
 
 def _marked(wanted):
@@ -184,33 +197,42 @@ def repeated_lines(docs: DataFrame, share: float = 0.2, min_docs: int = 4) -> tu
         wanted = spark.sparkContext.broadcast(_as_sets(candidates.toLocalIterator()))
         exact = docs.select("source_id", "body").mapInArrow(_counts(wanted), "source_id string, line bigint, docs bigint").groupBy("source_id", "line").agg(F.sum("docs").alias("docs"))
     else:
-        lines = docs.select(F.col("id").cast("string").alias("id"), "source_id", "body").mapInArrow(_exploded(), "id string, source_id string, line_no bigint, line bigint")
-        exact = lines.join(candidates, ["source_id", "line"], "left_semi").groupBy("source_id", "line").agg(F.countDistinct("id").alias("docs"))
+        exact = _slim(docs).mapInArrow(_exploded, _LINES).filter("first").select("source_id", "line").join(candidates, ["source_id", "line"], "left_semi").groupBy("source_id", "line").agg(F.count("*").alias("docs"))
     confirmed = materialize(exact.join(totals, "source_id").filter("docs >= least").select("source_id", "line", "docs"), "line-confirmed")
     return confirmed, _as_sets(confirmed.toLocalIterator()) if confirmed.count() <= MAX_BROADCAST_LINES else None
 
 
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("id").cast("string").alias("id"), "source_id", "body")
+
+
 def repeated_line_rows(docs: DataFrame, share: float = 0.2, min_docs: int = 4) -> DataFrame:
     """``(id, line_no)`` of every line that recurs in its source; ``line_no`` counts all lines of the body from 1.
 
-    Null and empty bodies give no row, equal rows of a document count as documents of their own,
-    an empty table gives an empty result; further columns are ignored.
+    Null and empty bodies give no row, equal rows of a document count as documents of their own and rows without an id
+    like any other, whether lines are broadcast or joined; an empty table gives an empty result; further columns are ignored.
     """
     confirmed, sets = repeated_lines(docs, share, min_docs)
-    slim = docs.select(F.col("id").cast("string").alias("id"), "source_id", "body")
     if sets is not None:
-        return slim.mapInArrow(_marked(docs.sparkSession.sparkContext.broadcast(sets)), "id string, line_no bigint")
-    return slim.mapInArrow(_exploded(), "id string, source_id string, line_no bigint, line bigint").join(confirmed, ["source_id", "line"], "left_semi").select("id", "line_no")
+        return _slim(docs).mapInArrow(_marked(docs.sparkSession.sparkContext.broadcast(sets)), "id string, line_no bigint")
+    return _slim(docs).mapInArrow(_exploded, _LINES).join(confirmed, ["source_id", "line"], "left_semi").select("id", "line_no")
 
 
 def strip_repeated_lines(docs: DataFrame, share: float = 0.2, min_docs: int = 4) -> DataFrame:
     """``docs`` with ``body`` freed of the lines that recur in its source; all other columns and rows stay."""
     confirmed, sets = repeated_lines(docs, share, min_docs)
     if sets is None:
-        marked = docs.select(F.col("id").cast("string").alias("id"), "source_id", "body").mapInArrow(_exploded(), "id string, source_id string, line_no bigint, line bigint")
-        gone = marked.join(confirmed, ["source_id", "line"], "left_semi").groupBy(F.col("id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
+        marked = _slim(docs).mapInArrow(_exploded, _LINES).join(confirmed, ["source_id", "line"], "left_semi")
+        # at most as many as the body has lines
+        gone = marked.groupBy(F.col("row").alias("_gone_row")).agg(F.collect_set("line_no").alias("_gone"))
         cut = F.array_join(F.filter(F.split("body", "\n", -1), lambda _, i: ~F.array_contains("_gone", i.cast("long") + 1)), "\n")
-        return docs.join(gone, docs["id"].cast("string") == gone["_gone_id"], "left").withColumn("body", F.when(F.col("_gone").isNull(), F.col("body")).otherwise(cut)).select(*docs.columns)
+
+        @F.pandas_udf("string")
+        def row_keys(ids, sources, bodies):
+            return bodies.__class__([_row_key(i, s, b) if s is not None and b else None for i, s, b in zip(ids, sources, bodies)], index=bodies.index, dtype=object)
+
+        keyed = docs.withColumn("_row", row_keys(F.col("id").cast("string"), "source_id", "body"))
+        return keyed.join(gone, F.col("_row") == F.col("_gone_row"), "left").withColumn("body", F.when(F.col("_gone").isNull(), F.col("body")).otherwise(cut)).select(*docs.columns)
     wanted = docs.sparkSession.sparkContext.broadcast(sets)
 
     @F.pandas_udf("string")

@@ -1,15 +1,16 @@
 """Text cut off by field limits, found by what texts usually go on with, in plain SQL.
 
 Texts are cut into lines, lines into words; digits are masked in their shape, so that a cut number shows. All
-word trigrams are counted by where they stand: inside (another word follows), or at an end (of a sentence, a
-line or the text), for prose and for other lines (items, timelines, commands) apart. Counts are combined in each
+word trigrams are counted by where they stand: inside (another word follows), or at an end (of a line or the
+text, without a stop), for prose and for other lines (items, timelines, commands) apart. Counts are combined in each
 task first, so what is shuffled are distinct trigrams. Each text's last trigram is then joined to them:
 
-* it is frequent inside and almost never at an end: cut in a sentence. Where the trigram is too rare, its last
-  two words decide, then its last.
+* it is frequent inside and almost never at an end: cut in a sentence. Where the trigram is too rare to say, its last
+  two words decide, then its last, then all words of its kind of line.
 * its last word never stands there otherwise, but longer words that begin with it do: cut in a word.
 
-A mark of the cut (an ellipsis and the like) is put aside first.
+Ends of texts of one source and one length count once: so end the copies that one field limit cut. A mark of the cut
+(an ellipsis and the like) is put aside first.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from tailrace.session import materialize
 
 #: Below this share of uses at an end, a run of words is "almost never terminal".
 END_SHARE = 0.05
-#: Uses from which a run of words is judged by its own counts.
-ENOUGH = 3
+#: Uses, beside the text's own, from which a run of words is judged by its own counts.
+ENOUGH = 2
 #: A cut word stands at ends at most this often, against the longer words it may have been.
 PIECE_SHARE = 0.05
 LONG_LINE = 8
 #: A mark of the cut lies within so many characters of the end.
 TAIL = 40
-#: Ends that copies of one cut text may add up to.
-COPIES = 5
+#: Characters by which longer words are looked up; starts below that length are listed one by one.
+PREFIX = 8
+
+_BLANK = " \t\r\n\f\u00a0"
 
 # fixed patterns
 _MARK = r"(?:\s*(?:\[\s*(?:\.{2,}|…|truncated|cut|more)\s*\]|\(\s*(?:\.{3}|…|truncated)\s*\)|…|\.{3,}|\x{FFFD}|<truncated>|\[\+\d+ chars\]))+\s*$"
@@ -39,8 +42,13 @@ _OTHER = r"^(?:\s*(?:[-*•+–—]|\d{1,3}[.)])\s|\s*\d{1,2}:\d{2}\b|    |\s*#|
 def _word_array(line: str) -> str:
     """SQL for the words of a line, digits as 0 and the punctuation inside numbers as _; sentence ends are words ``.``, and an empty word may stand at either end."""
     masked = f"translate(lower({line}), '123456789', '000000000')"
-    numbers = f"regexp_replace({masked}, '(?<=0)[.,:/-](?=0)', '_')"
-    return f"split(regexp_replace({numbers}, '[.!?]+(?=\\\\s|$)', ' . '), '[^\\\\p{{L}}0._]+')"
+    numbers = f"regexp_replace(regexp_replace({masked}, '(0)[.,:/-](0)', '$1_$2'), '(0)[.,:/-](0)', '$1_$2')"
+    return f"split(regexp_replace({numbers}, '[.!?]+(\\\\s|$)', ' . $1'), '[^\\\\p{{L}}0._]+')"
+
+
+def _ended(line: Column) -> Column:
+    """Whether a line ends with a stop."""
+    return F.right(F.rtrim(line, F.lit(_BLANK)), F.lit(8)).rlike(_ENDED)
 
 
 def _kind(line: Column) -> Column:
@@ -58,19 +66,20 @@ def _once(df: DataFrame, *columns: str) -> DataFrame:
 def truncation_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(trigram counts ``kind, a, b, c, inside, ends``, last trigrams ``doc_id, kind, a, b, c, marked, ended``).
 
-    Ends of whole texts aren't counted yet, and ``last`` has a hash of its text in ``same``. The counting plan keeps to expressions that Spark compiles: no lambda runs per word.
+    Ends of whole texts aren't counted yet, and ``last`` has a hash of its source and length in ``same``. The counting plan keeps to expressions that Spark compiles: no lambda runs per word.
     """
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim("text", F.lit(" \t\r\n\f\u00a0")).alias("text")).filter("text <> ''")
+    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string").alias("source")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source, F.trim("text", F.lit(_BLANK)).alias("text")).filter("text <> ''")
     whole = _once(whole, "text")
     # only the last characters are searched for a mark: the patterns would be tried at every place of a text
     tail = F.right("text", F.lit(TAIL))
-    bare = F.rtrim(F.concat(F.substr("text", F.lit(1), F.greatest(F.length("text") - TAIL, F.lit(0))), F.regexp_replace(tail, _MARK, "")), F.lit(" \t\r\n\f\u00a0"))
-    cut = _once(whole.select("doc_id", "text", tail.rlike(_MARK).alias("marked")), "marked")
-    cut = _once(cut.select("doc_id", "marked", F.when(F.col("marked"), bare).otherwise(F.col("text")).alias("body")), "body")
+    bare = F.rtrim(F.concat(F.substr("text", F.lit(1), F.greatest(F.length("text") - TAIL, F.lit(0))), F.regexp_replace(tail, _MARK, "")), F.lit(_BLANK))
+    cut = _once(whole.select("doc_id", "source", "text", tail.rlike(_MARK).alias("marked")), "marked")
+    cut = _once(cut.select("doc_id", "source", "marked", F.when(F.col("marked"), bare).otherwise(F.col("text")).alias("body")), "body")
 
     split = cut.select(F.split("body", "\n").alias("all"))
     lines = split.select("all", F.posexplode_outer("all").alias("pos", "line")).select((F.size("all") - 1).alias("last"), "pos", "line")
-    title = (F.col("last") > 0) & (F.col("pos") == 0) & ~F.right("line", F.lit(8)).rlike(_ENDED)
+    title = (F.col("last") > 0) & (F.col("pos") == 0) & ~_ended(F.col("line"))
     words = lines.select(F.when(title, "title").otherwise(_kind(F.col("line"))).alias("kind"), (F.col("pos") == F.col("last")).alias("final"), F.expr(_word_array("line")).alias("w"))
     # outer: the plain explode would be given a filter that cuts every line a second time
     at = words.select("kind", "final", "w", F.posexplode_outer("w").alias("i", "c")).filter("c <> '' AND c <> '.'")
@@ -81,8 +90,8 @@ def truncation_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     last_line = F.substring_index("body", "\n", -1)
     wordy = F.try_element_at(F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]")), F.lit(-1))
-    final = cut.select("doc_id", "marked", F.xxhash64("body").alias("same"), F.when(last_line.rlike(r"[\p{L}\p{N}]"), last_line).otherwise(wordy).alias("line"))
-    final = _once(final, "line").select("doc_id", "marked", "same", _kind(F.col("line")).alias("kind"), F.right(F.rtrim("line"), F.lit(8)).rlike(_ENDED).alias("ended"), F.filter(F.expr(_word_array("line")), lambda x: (x != "") & (x != ".")).alias("v"))
+    final = cut.select("doc_id", "marked", F.xxhash64("source", F.length("body")).alias("same"), F.when(last_line.rlike(r"[\p{L}\p{N}]"), last_line).otherwise(wordy).alias("line"))
+    final = _once(final, "line").select("doc_id", "marked", "same", _kind(F.col("line")).alias("kind"), _ended(F.col("line")).alias("ended"), F.filter(F.expr(_word_array("line")), lambda x: (x != "") & (x != ".")).alias("v"))
     last = _once(final, "v").select("doc_id", "same", "kind", "marked", "ended", F.coalesce(F.try_element_at("v", F.lit(-3)), F.lit("^")).alias("a"), F.coalesce(F.try_element_at("v", F.lit(-2)), F.lit("^")).alias("b"), F.try_element_at("v", F.lit(-1)).alias("c")).filter("c IS NOT NULL")
     return counts, last
 
@@ -94,41 +103,55 @@ def _with_counts(last: DataFrame, counts: DataFrame, keys: list[str], name: str)
     return last.join(summed, keys, "left").fillna(0, [f"i{name}", f"e{name}"])
 
 
+def _longer(pieces: DataFrame, longer: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``keys, c, name``: how often words stand in ``longer`` (``keys, longer, n``) that begin with the piece ``c`` and go on.
+
+    Pieces shorter than ``PREFIX`` meet the listed starts of longer words, all others their first ``PREFIX`` characters:
+    no join is on a single hot word and none lists all starts of a very long one.
+    """
+    wanted = pieces.select(*keys, "c").distinct()
+    if keys:
+        longer = longer.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    starts = longer.withColumn("c", F.explode(F.expr(f"transform(sequence(1, greatest(least(length(longer) - 1, {PREFIX - 1}), 1)), k -> substring(longer, 1, k))"))).filter("length(c) < length(longer)")
+    short = wanted.filter(F.length("c") < PREFIX).join(starts, [*keys, "c"]).select(*keys, "c", "n")
+    head = F.substring("longer", 1, PREFIX).alias("head")
+    long = wanted.filter(F.length("c") >= PREFIX).withColumn("head", F.substring("c", 1, PREFIX)).join(longer.filter(F.length("longer") > PREFIX).withColumn("head", head), [*keys, "head"])
+    long = long.filter("length(longer) > length(c) AND startswith(longer, c)").select(*keys, "c", "n")
+    return short.unionByName(long).groupBy(*keys, "c").agg(F.sum("n").alias(name))
+
+
 def judged(docs: DataFrame) -> DataFrame:
-    """``doc_id, cut`` of every text with a word; ``cut`` says that it was cut off."""
+    """``doc_id, kind, a, b, c, marked, cut`` of every text with a word: its last trigram, and whether it was cut off."""
     counts, last = truncation_tables(docs)
     last = materialize(last, "last-trigrams")
-    # copies of one text, however many, are one end
     ends = last.filter("NOT ended").groupBy("kind", "a", "b", "c").agg(F.lit(0).cast("long").alias("inside"), F.countDistinct("same").alias("ends"))
     counts = materialize(counts.unionByName(ends), "trigrams")
     open_ = last.filter("NOT ended")
     for keys, name in ((["kind", "a", "b", "c"], "3"), (["kind", "b", "c"], "2"), (["kind", "c"], "1"), (["a", "b", "c"], "3a"), (["b", "c"], "2a"), (["c"], "1a")):
         open_ = _with_counts(open_, counts, keys, name)
-    # longer words in the place of the last one: (b, longer) and, whatever stands before, (longer)
+    kinds = counts.groupBy("kind").agg(F.sum("inside").alias("i0"), F.sum("ends").alias("e0"))
+    open_ = materialize(open_.join(F.broadcast(kinds), "kind"), "ends")  # one row for each kind of line
+    # longer words in the place of the last one: after the same word, and whatever stands before
     pairs = counts.groupBy("b", F.col("c").alias("longer")).agg(F.sum(F.col("inside") + F.col("ends")).alias("n"))
-    piece = open_.filter(~F.col("c").rlike("^[0_]+$"))
-    after = piece.select("b", "c").distinct().join(pairs, "b").filter("length(longer) > length(c) AND startswith(longer, c)").groupBy("b", "c").agg(F.sum("n").alias("longer2"))
-    single = pairs.groupBy("longer").agg(F.sum("n").alias("n"))
-    heads = single.select("n", F.explode(F.expr("transform(sequence(1, least(length(longer) - 1, 24)), k -> substring(longer, 1, k))")).alias("c")).filter("c <> ''").groupBy("c").agg(F.sum("n").alias("longer1"))
-    open_ = open_.join(after, ["b", "c"], "left").join(heads, "c", "left").fillna(0, ["longer2", "longer1"])
-
-    def share(i: str, e: str):
-        return (F.col(e) - 1) / F.greatest(F.col(i) + F.col(e) - 1, F.lit(1))
-
-    def known(i: str, e: str):
-        return F.col(i) + F.col(e) - 1 >= ENOUGH
-
-    by_kind = F.when(known("i3", "e3"), share("i3", "e3")).when(known("i2", "e2"), share("i2", "e2"))
-    by_kind = F.when(F.col("kind") == "short", F.when(known("i3", "e3"), share("i3", "e3")).when(known("i3a", "e3a"), share("i3a", "e3a")).when(known("i2a", "e2a"), share("i2a", "e2a"))).otherwise(by_kind.when(known("i1", "e1"), share("i1", "e1")))
-    prose = F.col("kind") == "prose"
-    ends = F.when(known("i3", "e3"), F.col("e3")).when(known("i2", "e2"), F.col("e2")).otherwise(F.col("e1")) - 1
-    # prose without a stop is cut unless its end is an end elsewhere too, more often than copies of the same text explain
-    in_sentence = F.coalesce(by_kind < END_SHARE, prose) | (prose & (ends < COPIES)) | (F.col("marked") & (F.col("kind") == "short"))
-    digits = F.col("c").rlike("^[0_]+$")
-    in_word = ~digits & (
-        ((F.col("i2a") == 0) & (F.col("longer2") > 0) & (F.col("e2a") - 1 <= PIECE_SHARE * F.col("longer2")))
-        | ((F.col("i1a") == 0) & (F.col("longer1") > 0) & (F.col("e1a") - 1 <= PIECE_SHARE * F.col("longer1")))
-    )
+    pieces = open_.filter(~F.col("c").rlike("^[0_]+$"))
+    after = _longer(pieces.filter("i2a = 0"), pairs, ["b"], "longer2")
+    anywhere = _longer(pieces.filter("i1a = 0"), pairs.groupBy("longer").agg(F.sum("n").alias("n")), [], "longer1")
+    open_ = open_.join(after, ["b", "c"], "left").join(anywhere, "c", "left").fillna(0, ["longer2", "longer1"])
+
+    def share(name: str) -> Column:
+        """Share of the other uses of the last words that are at an end, if there are enough."""
+        i, e = F.col(f"i{name}"), F.col(f"e{name}") - 1
+        return F.when(i + e >= ENOUGH, e / (i + e))
+
+    by_words = F.coalesce(share("3"), share("2"), share("1"), F.col("e0") / F.greatest(F.col("i0") + F.col("e0"), F.lit(1)))
+    # short lines end anywhere: only their own words, of whatever kind of line, say something
+    by_words = F.when(F.col("kind") == "short", F.coalesce(share("3"), share("3a"), share("2a"))).otherwise(by_words)
+    in_sentence = F.coalesce(by_words < END_SHARE, F.lit(False)) | (F.col("marked") & (F.col("kind") == "short"))
+
+    def piece(name: str, longer: str) -> Column:
+        return (F.col(f"i{name}") == 0) & (F.col(longer) > 0) & (F.col(f"e{name}") - 1 <= PIECE_SHARE * F.col(longer))
+
+    in_word = ~F.col("c").rlike("^[0_]+$") & (piece("2a", "longer2") | piece("1a", "longer1"))
     flagged = open_.select("doc_id", "kind", "a", "b", "c", "marked", (in_sentence | in_word).alias("cut"))
     return flagged.unionByName(last.filter("ended").select("doc_id", "kind", "a", "b", "c", "marked", F.lit(False).alias("cut")))
 

@@ -67,7 +67,8 @@ def test_leaks(spark):
                 want.add((d, i))
     df, it = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
     rows = leaks.leaked(df, it).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in rows if r["run"] >= 13} == want
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["run"] >= 13} == want == {(r["doc_id"], r["item_id"]) for r in rows if r["run_edits"] == 0}
+    assert all(r["run_edits"] is None for r in rows if r["item_words"] < leaks.RUN)
     by = {(r["doc_id"], r["item_id"]): r for r in rows}
     assert by[102, 3]["edits"] == 0 and by[103, 4]["edits"] == 0 and by[104, 52]["edits"] == 0 and by[105, 5]["edits"] <= 3
     assert (105, 5) in {(r["doc_id"], r["item_id"]) for r in leaks.leaked_passages(df, it).collect()}
@@ -151,6 +152,34 @@ def test_truncation_rates(spark):
     assert truncation.truncated(df.limit(0)).isEmpty()
 
 
+def test_one_ending_is_judged_alike(spark):
+    """A whole ending without a stop is whole in 3, 6 and 40 documents; one ending that goes on elsewhere is cut in all of them."""
+    rows, _ = texts()
+    r = h.rng(21)
+    signs = {n: f"Written for all of our readers by the {w} people of the {w} desk {w}" for n, w in ((3, "quill"), (6, "ambry"), (40, "zinco"))}
+    at = 20_000
+    whole, cut = {n: set() for n in signs}, {n: set() for n in signs}
+    for n, line in signs.items():
+        for _ in range(n):
+            rows.append((at, h.report(r, r.randrange(3, 9)) + "\n" + line, "s"))
+            whole[n].add(at)
+            rows.append((at + 1, h.report(r, r.randrange(3, 9)) + f" Then all of the {n} teams had to move over", "s"))
+            cut[n].add(at + 1)
+            rows += [(at + 2 + j, h.report(r, 2) + f" Then all of the {n} teams had to move over to the other hall." * 15 + h.sentence(r), "s") for j in range(2)]
+            at += 10
+    got = {x["doc_id"] for x in truncation.truncated(spark.createDataFrame(rows, DOC)).collect()}
+    assert not any(v & got for v in whole.values()) and all(v <= got for v in cut.values())
+
+
+def test_long_words(spark):
+    """Pieces of eight letters and more are found in longer words; a word of a million letters does no harm."""
+    r = h.rng(22)
+    rows = [(i, h.report(r, 3) + "\n- restart the datenbankverbindungsueberwachungsdienst", "s") for i in range(20)]
+    rows += [(100, h.report(r, 3) + "\n- restart the datenbankverbindungsueberwa", "s"), (101, "x" * 1_000_000, "s"), (102, "- " + "x" * 900_000, "s")]
+    got = {x["doc_id"] for x in truncation.truncated(spark.createDataFrame(rows, DOC)).collect()}
+    assert 100 in got and not got & set(range(20))
+
+
 def test_copies_of_a_cut_text(spark):
     rows, cut = texts()
     hot = next(t for i, t, _ in rows if i in cut and i % 30 == 0)

@@ -77,6 +77,23 @@ def test_repeated_lines_without_broadcast(spark, monkeypatch):
     assert cut == {r["id"]: r["body"] for r in rl.strip_repeated_lines(df).collect()}
 
 
+def test_broadcast_and_join_agree_on_odd_rows(spark, monkeypatch):
+    """Repeated ids, rows without an id and two bodies under one id: both branches count rows and cut the same lines."""
+    rows = [("a", "s", None, f"own {'abcdefgh'[i]}\nstanding line") for i in range(3)]
+    rows += [("b", "s", None, "standing line\nother one"), ("b", "s", None, "first of two\nsecond\nSTANDING line 7\nstanding line")]
+    rows += [(None, "s", None, "nobody's\nrare line"), (None, "s", None, "rare line\nsomebody's"), ("c", "s", None, "rare line"), ("c", "s", None, "rare line")]
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+
+    def both():
+        return sorted(map(tuple, rl.repeated_line_rows(df).collect()), key=str), sorted((tuple(r) for r in rl.strip_repeated_lines(df).collect()), key=str)
+
+    sent = both()
+    monkeypatch.setattr(rl, "MAX_BROADCAST_LINES", 0)
+    assert both() == sent
+    assert ("b", 3) in sent[0] and ("b", 4) in sent[0] and (None, 2) in sent[0] and sent[0].count(("c", 1)) == 2
+    assert ("b", "s", None, "first of two\nsecond") in sent[1]
+
+
 def test_strip_keeps_rows_and_columns(spark):
     rows = corpus()
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], DOC + ", line int, docs string")
