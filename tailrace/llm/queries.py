@@ -95,6 +95,12 @@ def p7_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _consensus(spark, sf_dir).agreement()
 
 
+def p7_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus of the incidents whose labels are settled; SQL has the settled labels."""
+    settled = _table(spark, sf_dir, "golden_set").select(F.col("id").alias("incident_id")).distinct()
+    return _consensus(spark, sf_dir).labels().join(F.broadcast(settled), "incident_id", "left_semi").select("incident_id", "label")
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
@@ -132,7 +138,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_overlap_report, p1_overlapping_records, p2_found, p2_splits, p2_shares, p3_found, p3_stripped, p5_found, p5_main_text, p6_found, p6_groups, p7_found, p7_annotators, p7_agreement, p8_found, p8_leaks, p9_found, p9_shares, p9_copies, p10_found, p10_rates)
+    own = (p1_found, p1_overlap_report, p1_overlapping_records, p2_found, p2_splits, p2_shares, p3_found, p3_stripped, p5_found, p5_main_text, p6_found, p6_groups, p7_found, p7_golden, p7_annotators, p7_agreement, p8_found, p8_leaks, p9_found, p9_shares, p9_copies, p10_found, p10_rates)
     return {f.__name__: f for f in own}
 
 
@@ -222,5 +228,13 @@ def oracle_sql() -> dict[str, str]:
         "p10_found": f"WITH {_cut_sql()} SELECT doc_id FROM judged WHERE coalesce(cut, false)",
         "p10_rates": f"""WITH {_cut_sql()}, n AS (SELECT source, count(*) AS n_docs, count(DISTINCT CASE WHEN cut THEN doc_id END) AS n_truncated FROM documents LEFT JOIN judged USING (doc_id) GROUP BY source)
  SELECT *, n_truncated / n_docs AS share FROM n""",
+        "p7_golden": "SELECT DISTINCT id AS incident_id, unnest(labels) AS label FROM golden_set",
+        "p7_agreement": f"""WITH r AS (SELECT incident_id, lower(trim(annotator_id)) AS a, regexp_replace(lower(trim(label)), '[\\s_-]+', '-', 'g') AS label, coalesce(annotation_round, -1) AS round
+ FROM incident_labels WHERE lower(trim(source)) = 'human' AND incident_id IS NOT NULL AND trim(annotator_id) <> ''),
+ v AS (SELECT DISTINCT incident_id, a, label FROM (SELECT *, rank() OVER (PARTITION BY incident_id, a ORDER BY round DESC) AS k FROM r) WHERE k = 1),
+ n AS (SELECT incident_id, count(DISTINCT a) AS n FROM v GROUP BY incident_id HAVING count(DISTINCT a) > 1), t AS (SELECT unnest({list(LABELS)}) AS label),
+ y AS (SELECT t.label, n.incident_id, any_value(n.n) AS n, count(v.a) AS y FROM n CROSS JOIN t LEFT JOIN v ON v.incident_id = n.incident_id AND v.label = t.label GROUP BY t.label, n.incident_id),
+ g AS (SELECT label, count(*) AS items, sum(2.0 * y * (n - y) / (n - 1)) AS diff, sum(y) AS ones, sum(n) AS vals FROM y GROUP BY label)
+ SELECT label, items, CASE WHEN ones > 0 AND ones < vals THEN 1 - diff / (2.0 * ones * (vals - ones) / (vals - 1)) ELSE 1.0 END AS alpha FROM g""",
         "p8_found": f"WITH {_runs('d', 'doc_id', 'text', 'documents', 13)}, {_runs('i', 'item_id', 'text', 'eval_items', 13)} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
     }

@@ -140,11 +140,21 @@ def test_consensus_by_joins(spark, monkeypatch):
 
     df = spark.createDataFrame(votes(items=60)[0], LABEL)
     few = {(r["incident_id"], r["label"]): r["posterior"] for r in Consensus(df, TAX, iterations=4).labels().collect()}
-    monkeypatch.setattr(consensus, "FEW_ANNOTATORS", 0)
+    monkeypatch.setattr(consensus, "MAX_ANNOTATORS", 0)
     many = {(r["incident_id"], r["label"]): r["posterior"] for r in Consensus(df, TAX, iterations=4).labels().collect()}
     assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 for k in few)
 
 
+def test_consensus_stops_by_change(spark):
+    df = spark.createDataFrame(votes(items=120)[0], LABEL)
+    c, d = Consensus(df, TAX), Consensus(df, TAX, iterations=60, converged=0.0)
+    assert c.change <= 1e-3 and c.iterations < 60
+    a, b = ({(r["incident_id"], r["label"]): r["posterior"] for r in x.labels().collect()} for x in (c, d))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 0.01 for k in a)
+    with pytest.raises(ValueError):
+        Consensus(df, [f"l{i}" for i in range(63)])
+
+
 def test_only_the_last_round_counts(spark):
     rows = [("a", "dns", "human", "x", None), ("a", "bad-deploy", "human", "x", 1), ("a", "quota-limit", "human", "x", 2), ("a", "quota-limit", "human", "y", 1), ("a", "quota-limit", "human", "z", None), ("b", "__reviewed__", "human", "x", 1), ("b", "__reviewed__", "human", "y", 1)]
     c = Consensus(spark.createDataFrame(rows, LABEL), TAX)
