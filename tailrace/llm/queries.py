@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tailrace.llm import leaks, mixing, repeated_lines, truncation, wrapper
 from tailrace.llm.consensus import Consensus
-from tailrace.llm.grouped_splits import tied_names, update_components
+from tailrace.llm.grouped_splits import component_names, load_components, save_components, tied_names, update_components
 from tailrace.llm.near_duplicates import NearDuplicates
 from tailrace.llm.split_overlap import SplitOverlap, overlap_report
+from tailrace.session import work_dir
 from tailrace.taxonomy import LABELS
 
 _ENTITIES = ("org", "incident_id")
@@ -33,13 +35,31 @@ def p1_overlapping_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SplitOverlap(_table(spark, sf_dir, "labeled_examples"), least=0.7).records()
 
 
+def _targets(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    return {r["split_name"]: r["share"] for r in _table(spark, sf_dir, "split_targets").collect()}
+
+
 def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    targets = {r["split_name"]: r["share"] for r in _table(spark, sf_dir, "split_targets").collect()}
-    return update_components(_table(spark, sf_dir, "labeled_examples"), "example_id", _ENTITIES, targets)
+    return update_components(_table(spark, sf_dir, "labeled_examples"), "example_id", _ENTITIES, _targets(spark, sf_dir))
+
+
+def _in_two_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The component table after the records of today's train split came first and all others, with another session's table to load, later."""
+    records, targets = _table(spark, sf_dir, "labeled_examples"), _targets(spark, sf_dir)
+    folder = f"{work_dir(spark)}/components-{uuid.uuid4().hex}"
+    first = F.coalesce(F.col("split") == "train", F.lit(False))
+    for batch in (records.filter(first), records.filter(~first)):
+        table, placed = update_components(batch, "example_id", _ENTITIES, targets, load_components(spark, folder))
+        save_components(table, folder)
+    return load_components(spark, folder), placed
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tied_names(_splits(spark, sf_dir)[0]).select(F.col("a").alias("org_a"), F.col("b").alias("org_b"))
+    return tied_names(_in_two_batches(spark, sf_dir)[0]).select(F.col("a").alias("org_a"), F.col("b").alias("org_b"))
+
+
+def p2_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return component_names(_in_two_batches(spark, sf_dir)[0]).select(F.col("name").alias("org"), F.col("first_name").alias("first_org"), F.col("n_names").alias("n_orgs"), F.col("size").alias("n_records"))
 
 
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +67,11 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each split's share of all records beside its target."""
     n = _splits(spark, sf_dir)[1].groupBy("split").agg(F.count("*").alias("n_records"))
-    return n.crossJoin(n.agg(F.sum("n_records").alias("_all"))).select("split", "n_records", (F.col("n_records") / F.col("_all")).alias("share"))
+    whole = n.agg(F.sum("n_records").alias("_all"))  # one row
+    asked = _table(spark, sf_dir, "split_targets").select(F.col("split_name").alias("split"), F.col("share").alias("target"))
+    return asked.join(n, "split", "full").crossJoin(F.broadcast(whole)).select("split", "n_records", "target", (F.col("n_records") / F.col("_all")).alias("share"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +161,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_overlap_report, p1_overlapping_records, p2_found, p2_splits, p2_shares, p3_found, p3_stripped, p5_found, p5_main_text, p6_found, p6_groups, p7_found, p7_golden, p7_annotators, p7_agreement, p8_found, p8_leaks, p9_found, p9_shares, p9_copies, p10_found, p10_rates)
+    own = (p1_found, p1_overlap_report, p1_overlapping_records, p2_found, p2_components, p2_splits, p2_shares, p3_found, p3_stripped, p5_found, p5_main_text, p6_found, p6_groups, p7_found, p7_golden, p7_annotators, p7_agreement, p8_found, p8_leaks, p9_found, p9_shares, p9_copies, p10_found, p10_rates)
     return {f.__name__: f for f in own}
 
 
@@ -222,6 +245,12 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": """WITH RECURSIVE e AS (SELECT DISTINCT incident_id, lower(trim(org)) AS org FROM labeled_examples WHERE incident_id IS NOT NULL AND org IS NOT NULL AND lower(trim(org)) NOT IN ('', 'unknown')),
  p AS (SELECT DISTINCT x.org AS a, y.org AS b FROM e x JOIN e y USING (incident_id)), c AS (SELECT a, b FROM p UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a)
  SELECT a AS org_a, b AS org_b FROM c WHERE a < b""",
+        "p2_components": """WITH RECURSIVE r AS (SELECT example_id, incident_id, CASE WHEN lower(trim(org)) NOT IN ('', 'unknown') THEN lower(trim(org)) END AS org FROM labeled_examples),
+ e AS (SELECT DISTINCT incident_id, org FROM r WHERE org IS NOT NULL), p AS (SELECT DISTINCT x.org AS a, y.org AS b FROM e x JOIN e y USING (incident_id) UNION SELECT org, org FROM e),
+ c AS (SELECT a, b FROM p UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a), o AS (SELECT a AS org, min(b) AS first_org, count(*) AS n_orgs FROM c GROUP BY a),
+ i AS (SELECT incident_id, min(first_org) AS first_org FROM e JOIN o USING (org) WHERE incident_id IS NOT NULL GROUP BY incident_id),
+ n AS (SELECT coalesce(o.first_org, i.first_org) AS first_org, count(*) AS n_records FROM r LEFT JOIN o ON r.org = o.org LEFT JOIN i ON r.incident_id = i.incident_id GROUP BY 1)
+ SELECT org, first_org, n_orgs, n_records FROM o JOIN n USING (first_org)""",
         "p3_found": f"WITH {_RECURRING} SELECT id, no AS line_no FROM l JOIN g USING (source_id, k)",
         "p3_stripped": f"""WITH {_RECURRING}, gone AS (SELECT id, list(no) AS x FROM l JOIN g USING (source_id, k) GROUP BY id)
  SELECT s.id, source_id, CASE WHEN x IS NULL THEN body ELSE array_to_string(list_filter(string_split(body, chr(10)), lambda line, i: NOT list_contains(x, i)), chr(10)) END AS body FROM source_documents s LEFT JOIN gone USING (id)""",

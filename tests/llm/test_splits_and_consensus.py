@@ -89,6 +89,41 @@ def test_incremental(spark):
     assert kept["0:a"] == "train" and kept["0:d"] == "train" and kept["0:q"] == gs.QUARANTINE
 
 
+def test_batches_give_the_components_of_one(spark, tmp_path):
+    """Three batches over a saved table end in the components that one batch finds; only a whole version counts."""
+    r = random.Random(3)
+    rows = [(i, f"o{r.randrange(40)}" if r.random() < 0.8 else None, f"x{r.randrange(60)}" if r.random() < 0.7 else None) for i in range(150)]
+    whole = gs.update_components(spark.createDataFrame(rows, EX), "example_id", ["org", "incident_id"], TARGETS)[0]
+    folder = f"file://{tmp_path}/components"
+    assert gs.load_components(spark, folder) is None
+    for at in range(0, 150, 50):
+        table, placed = gs.update_components(spark.createDataFrame(rows[at : at + 50], EX), "example_id", ["org", "incident_id"], TARGETS, gs.load_components(spark, folder))
+        assert placed.count() == 50
+        gs.save_components(table, folder)
+    (tmp_path / "components" / "version=000000009").mkdir()
+    table = gs.load_components(spark, folder)
+
+    def sets(t):
+        out = defaultdict(set)
+        for x in t.collect():
+            out[x["component"]].add(x["entity"])
+        return {k: frozenset(v) for k, v in out.items()}
+
+    assert sets(table) == sets(whole) and table.count() == whole.count()
+    sizes = {(x["component"], x["size"]) for x in table.collect()}
+    assert sum(n for _, n in sizes) == 150 and len(sizes) == len(sets(table))
+    names = {x["name"]: x for x in gs.component_names(table).collect()}
+    pairs = {tuple(x) for x in gs.tied_names(table).collect()}
+    assert sum(x["n_names"] - 1 for x in names.values()) == 2 * len(pairs) and all(names[a]["first_name"] == names[b]["first_name"] for a, b in pairs)
+
+
+def test_too_few_rounds_are_an_error(spark):
+    chain = spark.createDataFrame([(f"{i * 7919 % 64:02}", f"{(i + 1) * 7919 % 64:02}") for i in range(63)], "u string, v string")
+    with pytest.raises(RuntimeError):
+        gs.components_of(chain, max_rounds=1)
+    assert {x["root"] for x in gs.components_of(chain).collect()} == {"00"}
+
+
 def test_splits_empty(spark):
     table, placed = gs.update_components(spark.createDataFrame([], EX), "example_id", ["org", "incident_id"], TARGETS)
     assert table.isEmpty() and placed.isEmpty() and gs.tied_names(table).isEmpty()
