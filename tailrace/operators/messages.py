@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailrace.session import BROADCAST_BYTES, materialize, small, table_bytes, work_dir
+from tailrace.session import BROADCAST_BYTES, materialize, open_folder, small, table_bytes, work_dir
 
 BLOCK_BITS = 16
 
@@ -101,7 +101,7 @@ def _by_fetch(messages: DataFrame, vectors: DataFrame, columns: list[str], delet
     n = len(columns)
 
     def run(batches):
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = open_folder(folder)
         part, blocks = None, {}
         for batch in batches:
             parts, rows = batch.column(n).dictionary_encode(), batch.column(n + 1).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -3,11 +3,13 @@ lineage in the shared folder and broadcasting behind a size check."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +49,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``. Only where that is unset, as in tests, a local one is made."""
+    """The folder that all executors see: ``spark.checkpoint.dir``. Only where that is unset and the master is local, as in tests, a local one is made."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = spark.conf.get("tailrace.own.dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="tailrace-")
@@ -58,6 +62,11 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """A folder of the shared storage for Python: its file system and its path there."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
