@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tailrace.llm.bagminhash import bag_bands
 from tailrace.llm.grouped_splits import components_of
 from tailrace.llm.words import shingle_hashes, text_digest, words
-from tailrace.llm.wrapper import induce, label_page, page_nodes, per_block
+from tailrace.llm.wrapper import Templates, induce, label_page, page_nodes
 from tailrace.session import materialize
 
 #: 40 bands of 4 registers: a pair of likeness 0.7 is missed with probability (1 - 0.7 ** 4) ** 40, about 2e-5.
@@ -32,29 +32,38 @@ SIGN_AT_ONCE = 400
 _SIGNED = "id string, digest string, text string, bands array<bigint>"
 
 
-def _sign(wanted):
+def _sign(templates: Templates | None):
+    """Signatures of the pages' reports, or of whole bodies where there are no templates."""
+
+    def bodies(batches):
+        if templates is None:
+            for batch in batches:
+                yield ((i, words(b)) for i, b in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "body"))) if b)
+            return
+        for rows in templates.sorted_pages(batches, "id", "title", "body"):
+            for id_, title, body, wrapper in rows:
+                if body:
+                    nodes = page_nodes(body)
+                    yield ((id_, [w for n, t in zip(nodes, label_page(wrapper, title, nodes, templates.model.value)) if not t for w in words(n.text)]),)
+
+    def signed(ids, texts):
+        found = bag_bands([shingle_hashes(ws) for ws in texts], REGISTERS, ROWS)
+        keep = [j for j, b in enumerate(found) if b is not None]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([ids[j] for j in keep], pa.string()), pa.array([text_digest(texts[j]) for j in keep], pa.string()), pa.array([" ".join(texts[j]) for j in keep], pa.string()), pa.array([found[j] for j in keep], pa.list_(pa.int64()))],
+            ["id", "digest", "text", "bands"],
+        )
+
     def run(batches):
-        model = wanted.value if wanted is not None else None
-        for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "source_id", "title", "body")]
-            for at in range(0, len(cols[0]), SIGN_AT_ONCE):
-                ids, texts = [], []
-                for id_, source, title, body in zip(*(c[at : at + SIGN_AT_ONCE] for c in cols)):
-                    if not body:
-                        continue
-                    if model is None:
-                        ws = words(body)
-                    else:
-                        nodes = page_nodes(body)
-                        ws = [w for n, t in zip(nodes, label_page(source, title, nodes, model)) if not t for w in words(n.text)]
-                    if ws:
-                        ids.append(id_), texts.append(ws)
-                signed = bag_bands([shingle_hashes(ws) for ws in texts], REGISTERS, ROWS)
-                keep = [j for j, b in enumerate(signed) if b is not None]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[j] for j in keep], pa.string()), pa.array([text_digest(texts[j]) for j in keep], pa.string()), pa.array([" ".join(texts[j]) for j in keep], pa.string()), pa.array([signed[j] for j in keep], pa.list_(pa.int64()))],
-                    ["id", "digest", "text", "bands"],
-                )
+        ids, texts = [], []
+        for rows in bodies(batches):
+            for id_, ws in rows:
+                if ws:
+                    ids.append(id_), texts.append(ws)
+                if len(ids) == SIGN_AT_ONCE:
+                    yield signed(ids, texts)
+                    ids, texts = [], []
+        yield signed(ids, texts)
 
     return run
 
@@ -104,8 +113,8 @@ class NearDuplicates:
         title = F.col("title") if "title" in docs.columns else F.lit(None).cast("string").alias("title")
         source = F.col("source_id") if "source_id" in docs.columns else F.lit(None).cast("string").alias("source_id")
         slim = docs.select(F.col("id").cast("string").alias("id"), source, title, "body").filter("id IS NOT NULL")
-        signed = per_block(slim, induce(slim), lambda part, model: part.mapInArrow(_sign(model), _SIGNED)) if pages else slim.mapInArrow(_sign(None), _SIGNED)
-        signed = materialize(signed, "signed")
+        templates = induce(slim) if pages else None
+        signed = materialize((templates.pages(slim) if templates else slim).mapInArrow(_sign(templates), _SIGNED), "signed")
         #: ``id, digest``: the class of each document.
         self.members = signed.select("id", "digest").distinct()
         # bands travel with 60 bits of the digest; classes that share them are all checked

@@ -136,16 +136,34 @@ def test_kinds(line, kind):
     assert kind_of(line, line.strip()) == kind
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 5), max_size=12), st.lists(st.integers(0, 5), max_size=12))
+def forest(shape):
+    return [wrapper.Part(k, forest(c)) for k, c in shape]
+
+
+SHAPE = st.recursive(st.just([]), lambda c: st.lists(st.tuples(st.integers(0, 3), c), max_size=4), max_leaves=12)
+
+
+def largest(a, b):
+    """The size of the largest matching that keeps order and descent, by the recurrence over last trees."""
+    if not a or not b:
+        return 0
+    (k, below), (q, under) = a[-1], b[-1]
+    both = largest(a[:-1], b[:-1]) + 1 + largest(below, under) if k == q else 0
+    return max(both, largest(a[:-1], b), largest(a, b[:-1]))
+
+
+@settings(max_examples=80, deadline=None)
+@given(SHAPE, SHAPE)
 def test_tree_match(a, b):
-    n, partner = wrapper.tree_match(a, b)
-    lcs = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a)):
-        for j in range(len(b)):
-            lcs[i + 1][j + 1] = lcs[i][j] + 1 if a[i] == b[j] else max(lcs[i][j + 1], lcs[i + 1][j])
-    used = [(i, p) for i, p in enumerate(partner) if p >= 0]
-    assert n == lcs[-1][-1] == len(used) and all(a[i] == b[p] for i, p in used) and [p for _, p in used] == sorted({p for _, p in used})
+    x, y = forest(a), forest(b)
+    n, pairs = wrapper.tree_match(x, y)
+    assert n == len(pairs) == largest(a, b) and all(p.key == q.key for p, q in pairs)
+    assert len({id(p) for p, _ in pairs}) == len({id(q) for _, q in pairs}) == n
+
+
+def test_page_trees():
+    nodes = wrapper.page_nodes("- a first item\nRead next\n- one\n- two\n\nText that stands here ends.\n- three")
+    assert [len(n.children) for n in nodes] == [0, 2, 0, 0, 1, 0] and [n.no for n in wrapper.roots_of(nodes)] == [1, 2, 6]
 
 
 def site_pages(r, n, source, copies=0):
@@ -180,17 +198,44 @@ def test_template_lines(spark):
     assert "comments on this" not in text["siteone1"] and "## What happened" in text["siteone1"] and text["x1"] is None and text["x2"] == ""
 
 
-def test_blocks_of_sources(spark, monkeypatch):
+def test_buckets_of_sources(spark, monkeypatch):
     r = h.rng(13)
     rows = [x for source in ("siteone", "sitetwo", "sitethree") for x in site_pages(r, 30, source)[0]] + [("x", None, None, "Home\nIt broke after lunch on a day.")]
     df = spark.createDataFrame(rows, DOC)
     whole = sorted(map(tuple, wrapper.template_lines(df).collect()))
-    monkeypatch.setattr(wrapper, "MAX_MODEL_ROWS", 4)
-    assert len(wrapper.induce(df)) > 2
+    monkeypatch.setattr(wrapper, "BUCKET_ROWS", 4)
+    assert wrapper.induce(df).buckets > 2
     assert sorted(map(tuple, wrapper.template_lines(df).collect())) == whole
     assert wrapper.main_text(df).count() == len(rows)
 
 
+def test_the_wrapper_decides(spark):
+    """Without a wrapper nearly all template lines are content; aligned nodes keep their place in it."""
+    rows, truth = site_pages(h.rng(17), 60, "siteone")
+    templates = wrapper.induce(spark.createDataFrame(rows, DOC))
+    site = templates.wrapper("siteone", 0)
+    assert site.parts and site.keys and site.open
+    found, bare = set(), set()
+    for id_, _, title, body in rows:
+        nodes = wrapper.page_nodes(body)
+        for out, with_ in ((found, site), (bare, wrapper.NO_WRAPPER)):
+            out |= {(id_, n.no) for n, t in zip(nodes, wrapper.label_page(with_, title, nodes, templates.model.value)) if t}
+    assert len(found & truth) >= 0.97 * len(truth) and len(bare) <= 0.1 * len(truth)
+
+
+def test_related_heading_is_template(spark):
+    """A heading that only titles of other pages hang from belongs to the page; one that the report's items hang from doesn't."""
+    r = h.rng(18)
+    rows, truth = site_pages(r, 60, "siteone")
+    more, wanted = [], set()
+    for id_, source, title, body in rows:
+        n = body.count("\n") + 1
+        more.append((id_, source, title, body + f"\n## Related\n- Why {r.choice(h.NOUNS)} {r.choice(h.VERBS)}\n- Why {r.choice(h.NOUNS)} {r.choice(h.VERBS)}"))
+        wanted |= {(id_, n + i) for i in (1, 2, 3)}
+    got = {tuple(x) for x in wrapper.template_lines(spark.createDataFrame(more, DOC)).collect()}
+    assert len(got & wanted) >= 0.97 * len(wanted) and len(got - truth - wanted) <= 0.02 * len(truth)
+
+
 def test_copies_are_no_template(spark):
     r = h.rng(12)
     rows, truth = site_pages(r, 60, "siteone", copies=20)
