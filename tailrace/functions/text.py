@@ -195,7 +195,7 @@ def llm_prompt(title: Column, summary_: Column, body: Column, sections: Column)
         return F.when(F.length(x) > 0, F.concat(F.lit(label), F.substring(x, 1, n) if n else x))
 
     named = F.transform(F.filter(F.coalesce(sections, F.array().cast("array<struct<name:string,text:string>>")), lambda s: F.length(s["text"]) > 0), lambda s: F.concat(F.lit("["), s["name"], F.lit("]: "), F.substring(s["text"], 1, 500)))
-    head = F.array_compact(F.array(part("Title: ", title), part("Summary: ", summary_, 500), part("Body: ", body, 2000)))
+    head = F.array_compact(F.array(part("Title: ", title), part("Summary: ", summary_, 500), part("Body:\n", body, 2000)))
     return F.array_join(F.concat(head, named), "\n\n")
 
 

@@ -16,7 +16,7 @@ def export_rows(incidents: DataFrame) -> DataFrame:
     """The ten exported columns; full text only under permissive licences."""
     return incidents.select(
         "id", "org", "title", F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.date_format("occurred_on", "yyyy-MM-dd"), F.lit("")).alias("date"), F.coalesce(F.col("severity").cast("int"), F.lit(-1)).alias("severity"),
-        F.coalesce(F.to_json(F.transform("sections", lambda s: s["name"])), F.lit("[]")).alias("sections"), "license", F.when(is_permissive(F.col("license")), F.coalesce("summary", F.lit(""))).otherwise("").alias("full_text"), "content_hash",
+        F.coalesce(F.to_json("sections", {"ignoreNullFields": "false"}), F.lit("[]")).alias("sections"), "license", F.when(is_permissive(F.col("license")), F.coalesce("summary", F.lit(""))).otherwise("").alias("full_text"), "content_hash",
     )
 
 
@@ -32,11 +32,11 @@ def row_hash(*columns: str):
 
 
 def manifest(rows: DataFrame, version: str = "v1") -> DataFrame:
-    """One row ``version, num_records, fingerprint``, the same however rows are laid out: the exclusive or of the rows' hashes, which combines in each task."""
-    h = row_hash("id", "org", "title", "url", "date", "severity", "license", "full_text", "content_hash")
-    parts = [F.bit_xor(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("long")).alias(f"h{i}") for i in range(4)]
+    """One row ``version, num_records, sha256``, the same however rows are laid out: the digest of the sums of the words of all rows' hashes, over all ten columns. Sums combine in each task, and equal rows count each."""
+    h = row_hash("id", "org", "title", "url", "date", "severity", "sections", "license", "full_text", "content_hash")
+    parts = [F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"h{i}") for i in range(4)]
     g = rows.agg(F.count("*").alias("num_records"), *parts)
-    return g.select(F.lit(version).alias("version"), "num_records", F.concat_ws("-", *[F.coalesce(F.col(f"h{i}"), F.lit(0)).cast("string") for i in range(4)]).alias("fingerprint"))
+    return g.select(F.lit(version).alias("version"), "num_records", F.sha2(F.concat_ws("-", *[F.coalesce(F.col(f"h{i}").cast("string"), F.lit("0")) for i in range(4)]), 256).alias("sha256"))
 
 
 def golden_set(labels: DataFrame, incidents: DataFrame) -> DataFrame:
@@ -57,8 +57,8 @@ def top_orgs(rows: DataFrame, k: int = 15) -> DataFrame:
 
 
 def section_counts(rows: DataFrame) -> DataFrame:
-    """``section, n, pct`` of records; ``sections`` is a JSON list of names."""
-    names = rows.select(F.explode(F.from_json("sections", "array<string>")).alias("section")).groupBy("section").agg(F.count("*").alias("n"))
+    """``section, n, pct`` of records; ``sections`` is JSON."""
+    names = rows.select(F.explode(F.from_json("sections", "array<struct<name:string>>")["name"]).alias("section")).groupBy("section").agg(F.count("*").alias("n"))
     return names.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_t")))).select("section", "n", F.round(100.0 * F.col("n") / F.col("_t"), 1).cast("double").alias("pct"))
 
 

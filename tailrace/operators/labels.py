@@ -22,11 +22,11 @@ def taxonomy(spark) -> DataFrame:
 def keyword_votes(incidents: DataFrame) -> DataFrame:
     """``incident_id, label, lf_name, positive, confidence``: one row per incident and labelling function.
 
-    A match in the root-cause section counts 0.9, one in the body or title 0.7; an abstention has confidence 1.
+    A match in the root-cause section counts 0.9, one within the summary or within the title 0.7; an abstention has confidence 1.
     """
     cause = F.array_join(F.transform(F.filter("sections", lambda s: F.lower(s["name"]).isin(*ROOT_CAUSE)), lambda s: F.coalesce(s["text"], F.lit(""))), "\n")
-    rows = incidents.select(F.col("id").alias("incident_id"), F.coalesce(cause, F.lit("")).alias("cause"), F.concat_ws("\n", F.coalesce("summary", F.lit("")), F.coalesce("title", F.lit(""))).alias("rest"))
-    votes = F.array(*[F.struct(F.lit(label).alias("label"), F.lit("kw_" + label.replace("-", "_")).alias("lf_name"), F.col("cause").rlike("(?id)" + p).alias("strong"), F.col("rest").rlike("(?id)" + p).alias("weak")) for label, p in KEYWORDS])
+    rows = incidents.select(F.col("id").alias("incident_id"), F.coalesce(cause, F.lit("")).alias("cause"), F.coalesce("summary", F.lit("")).alias("told"), F.coalesce("title", F.lit("")).alias("head"))
+    votes = F.array(*[F.struct(F.lit(label).alias("label"), F.lit("kw_" + label.replace("-", "_")).alias("lf_name"), F.col("cause").rlike("(?id)" + p).alias("strong"), (F.col("told").rlike("(?id)" + p) | F.col("head").rlike("(?id)" + p)).alias("weak")) for label, p in KEYWORDS])
     flat = rows.select("incident_id", F.inline(votes))
     return flat.select("incident_id", "label", "lf_name", (F.col("strong") | F.col("weak")).alias("positive"), F.when(F.col("strong"), SECTION_CONFIDENCE).when(F.col("weak"), BODY_CONFIDENCE).otherwise(1.0).alias("confidence"))
 
@@ -76,11 +76,15 @@ def reconcile(labels: DataFrame, silver: DataFrame) -> DataFrame:
 
 
 def annotate(labels: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``labels`` after ``decisions`` (``incident_id, annotator_id, labels``): an annotator's human labels of the incident are replaced, by the sentinel if none was chosen."""
-    mine = decisions.select("incident_id", F.col("annotator_id")).distinct()
-    kept = labels.filter("source = 'human'").join(mine, ["incident_id", "annotator_id"], "left_anti").select("incident_id", "annotator_id", "label", "confidence")
+    """All ``labels`` after ``decisions`` (``incident_id, annotator_id, labels``): the human labels of a decided incident are replaced by what was chosen, by the sentinel if that is nothing.
+
+    Weak and model labels and those of other incidents stay, with all their columns; new rows have nulls in columns that a decision doesn't name.
+    """
+    decided = decisions.select(F.col("incident_id").alias("_decided")).distinct()
+    kept = labels.join(decided, (F.col("incident_id") == F.col("_decided")) & (F.col("source") == "human"), "left_anti")
     chosen = F.when(F.size("labels") > 0, F.col("labels")).otherwise(F.array(F.lit(REVIEWED)))
-    return kept.unionByName(decisions.select("incident_id", "annotator_id", F.explode(F.array_distinct(chosen)).alias("label"), F.lit(1.0).alias("confidence")))
+    fresh = decisions.select("incident_id", "annotator_id", F.explode(F.array_distinct(chosen)).alias("label"), F.lit("human").alias("source"), F.lit(1.0).alias("confidence"))
+    return kept.unionByName(fresh, allowMissingColumns=True)
 
 
 def next_unannotated(incidents: DataFrame, labels: DataFrame) -> DataFrame:

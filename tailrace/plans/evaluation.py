@@ -150,7 +150,7 @@ def classify_incidents(spark, d):
 
 
 ROWS = f"""rows AS (SELECT id, coalesce(org, 'unknown') AS org, org AS raw_org, title, coalesce(url, '') AS url, coalesce(strftime(occurred_on, '%Y-%m-%d'), '') AS date, coalesce(severity::INTEGER, -1) AS severity,
- CASE WHEN sections IS NULL THEN '[]' ELSE '[' || array_to_string(list_transform(sections, lambda s: '"' || s.name || '"'), ',') || ']' END AS sections, license,
+ coalesce(to_json(sections)::VARCHAR, '[]') AS sections, license,
  CASE WHEN license IN ({', '.join(q(x) for x in PERMISSIVE)}) THEN coalesce(summary, '') ELSE '' END AS full_text, content_hash FROM incidents)"""
 
 
@@ -166,10 +166,10 @@ def export_dataset(spark, d):
     return spark.read.parquet(path).select("id", "org", "severity", "content_hash")
 
 
-_H = "sha256(" + " || chr(1) || ".join(f"coalesce({c}::VARCHAR, '')" for c in ("id", "raw_org", "title", "url", "date", "severity", "license", "full_text", "content_hash")) + ")"
+_H = "sha256(" + " || chr(1) || ".join(f"coalesce({c}::VARCHAR, '')" for c in ("id", "raw_org", "title", "url", "date", "severity", "sections", "license", "full_text", "content_hash")) + ")"
 
 
-@query(f"WITH {ROWS}, h AS (SELECT {_H} AS h FROM rows) SELECT 'v1' AS version, count(*) AS num_records, " + " || '-' || ".join(f"bit_xor(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4)) + " AS fingerprint FROM h")
+@query(f"WITH {ROWS}, h AS (SELECT {_H} AS h FROM rows) SELECT 'v1' AS version, count(*) AS num_records, sha256(" + " || '-' || ".join(f"coalesce(sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT), 0)::VARCHAR" for i in range(4)) + ") AS sha256 FROM h")
 def export_manifest(spark, d):
     return export.manifest(export.export_rows(table(spark, d, "incidents")))
 

@@ -15,9 +15,9 @@ def q(s: str) -> str:
 
 TAX = "tax(label_id, label) AS (VALUES " + ", ".join(f"({i}, {q(x)})" for i, x in enumerate(LABELS)) + ")"
 _ROWS = """rows AS (SELECT id AS incident_id, coalesce(array_to_string(list_transform(list_filter(coalesce(sections, []), lambda s: lower(s.name) IN ('root_cause', 'root cause', 'rootcause')), lambda s: coalesce(s.text, '')), chr(10)), '') AS cause,
- coalesce(summary, '') || chr(10) || coalesce(title, '') AS rest FROM incidents)"""
+ coalesce(summary, '') AS told, coalesce(title, '') AS head FROM incidents)"""
 _PATS = "pat(label, p) AS (VALUES " + ", ".join(f"({q(x)}, {q('(?i)' + p)})" for x, p in KEYWORDS) + ")"
-VOTES = f"""{_ROWS}, kw AS (""" + " UNION ALL ".join(f"SELECT incident_id, {q(x)} AS label, {q('kw_' + x.replace('-', '_'))} AS lf_name, regexp_matches(cause, {q('(?i)' + p)}) AS strong, regexp_matches(rest, {q('(?i)' + p)}) AS weak FROM rows" for x, p in KEYWORDS) + """),
+VOTES = f"""{_ROWS}, kw AS (""" + " UNION ALL ".join(f"SELECT incident_id, {q(x)} AS label, {q('kw_' + x.replace('-', '_'))} AS lf_name, regexp_matches(cause, {q('(?i)' + p)}) AS strong, regexp_matches(told, {q('(?i)' + p)}) OR regexp_matches(head, {q('(?i)' + p)}) AS weak FROM rows" for x, p in KEYWORDS) + """),
  votes AS (SELECT incident_id, label, lf_name, strong OR weak AS positive, CASE WHEN strong THEN 0.9::DOUBLE WHEN weak THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM kw)"""
 LLM = f"""{TAX}, ans AS (SELECT DISTINCT incident_id, label FROM incident_labels WHERE source = 'model'),
  lv AS (SELECT a.incident_id, t.label, 'llm' AS lf_name, b.label IS NOT NULL AS positive, CASE WHEN b.label IS NOT NULL THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS confidence
@@ -75,13 +75,14 @@ def reconcile(spark, d):
     return ops.reconcile(table(spark, d, "incident_labels"), _silver(spark, d))
 
 
-@query("""WITH dec AS (SELECT id AS incident_id, 'ann-01' AS annotator_id, CASE WHEN severity IS NULL THEN [] WHEN severity = 0 THEN ['dns', 'dns', 'bad-deploy'] ELSE ['human-error'] END AS labels FROM incidents),
- kept AS (SELECT incident_id, annotator_id, label, confidence FROM incident_labels WHERE source = 'human' AND NOT (annotator_id = 'ann-01' AND incident_id IN (SELECT incident_id FROM dec)))
- SELECT * FROM kept UNION ALL SELECT incident_id, annotator_id, unnest(list_distinct(CASE WHEN len(labels) > 0 THEN labels ELSE ['__reviewed__'] END)), 1.0::DOUBLE FROM dec""")
+@query("""WITH dec AS (SELECT id AS incident_id, 'ann-01' AS annotator_id, CASE WHEN severity IS NULL THEN [] WHEN severity = 0 THEN ['dns', 'dns', 'bad-deploy'] ELSE ['human-error'] END AS labels FROM incidents WHERE severity IS DISTINCT FROM 3),
+ kept AS (SELECT incident_id, label, source, confidence, annotator_id FROM incident_labels WHERE NOT coalesce(source = 'human' AND incident_id IN (SELECT incident_id FROM dec), false))
+ SELECT * FROM kept UNION ALL SELECT incident_id, unnest(list_distinct(CASE WHEN len(labels) > 0 THEN labels ELSE ['__reviewed__'] END)), 'human', 1.0::DOUBLE, annotator_id FROM dec""")
 def annotate_apply(spark, d):
+    # incidents of severity 3 stay as they are
     chosen = F.when(F.col("severity").isNull(), F.array().cast("array<string>")).when(F.col("severity") == 0, F.array(F.lit("dns"), F.lit("dns"), F.lit("bad-deploy"))).otherwise(F.array(F.lit("human-error")))
-    decisions = table(spark, d, "incidents").select(F.col("id").alias("incident_id"), F.lit("ann-01").alias("annotator_id"), chosen.alias("labels"))
-    return ops.annotate(table(spark, d, "incident_labels"), decisions)
+    decisions = table(spark, d, "incidents").filter("severity IS DISTINCT FROM 3").select(F.col("id").alias("incident_id"), F.lit("ann-01").alias("annotator_id"), chosen.alias("labels"))
+    return ops.annotate(table(spark, d, "incident_labels"), decisions).select("incident_id", "label", "source", "confidence", "annotator_id")
 
 
 @query("""WITH a AS (SELECT DISTINCT l.annotator_id, l.incident_id FROM incident_labels l JOIN incidents i ON i.id = l.incident_id WHERE l.source = 'human' AND annotator_id IS NOT NULL)

@@ -212,9 +212,10 @@ def politeness_schedule(spark, d):
 NAMED_SQL = "list_transform(list_filter(coalesce(sections, []), lambda s: length(s.text) > 0), lambda s: '[' || s.name || ']: ' || substr(s.text, 1, 500))"
 
 
-@query(f"""SELECT id, array_to_string(list_concat(list_filter([CASE WHEN length(title) > 0 THEN 'Title: ' || title END, CASE WHEN length(summary) > 0 THEN 'Summary: ' || substr(summary, 1, 500) END], lambda x: x IS NOT NULL), {NAMED_SQL}), chr(10) || chr(10)) AS prompt FROM incidents""")
+@query(f"""SELECT id, array_to_string(list_concat(list_filter([CASE WHEN length(title) > 0 THEN 'Title: ' || title END, CASE WHEN length(summary) > 0 THEN 'Summary: ' || substr(summary, 1, 500) END, CASE WHEN length(body) > 0 THEN 'Body:' || chr(10) || substr(body, 1, 2000) END], lambda x: x IS NOT NULL), {NAMED_SQL}), chr(10) || chr(10)) AS prompt FROM (SELECT i.*, s.body FROM incidents i LEFT JOIN source_documents s ON s.id = i.document_id)""")
 def llm_prompt(spark, d):
-    return table(spark, d, "incidents").select("id", text.llm_prompt(F.col("title"), F.col("summary"), F.lit(None).cast("string"), F.col("sections")).alias("prompt"))
+    bodies = table(spark, d, S).select(F.col("id").alias("document_id"), "body")
+    return table(spark, d, "incidents").join(bodies, "document_id", "left").select("id", text.llm_prompt(F.col("title"), F.col("summary"), F.col("body"), F.col("sections")).alias("prompt"))
 
 
 RESPONSE = "CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN '{\"labels\": [\"dns\", \"nonsense\", \"bad-deploy\"], \"reasoning\": \"x\"}' WHEN 1 THEN '```json' || chr(10) || '{\"labels\": [\"quota-limit\"]}' || chr(10) || '```' WHEN 2 THEN '{\"labels\": []}' WHEN 3 THEN 'no json' ELSE '{\"other\": 1}' END"

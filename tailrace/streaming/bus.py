@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tailrace.operators.messages import message_key
+from tailrace.session import materialize
 
 ENVELOPE = {"event_id": "string", "occurred_at": "string", "content_hash": "string", "event_type": "string", "version": "int"}
 
@@ -93,25 +94,59 @@ def stream_of(spark: SparkSession, path: str, files_per_batch: int = 64) -> Data
 def run_stage(messages: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, letters: str, checkpoint: str, max_retries: int = MAX_RETRIES, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> StreamingQuery:
     """Work off all messages that are there: unreadable ones become dead letters at once, the rest go to ``handle``.
 
-    A batch that fails is tried again after a growing pause; after ``max_retries`` failures its messages become
-    dead letters with the number of attempts. Each batch writes to a folder of its own, overwritten when it is
+    A batch that fails is tried again ``max_retries`` times, each after a growing pause. If it still fails it is halved by
+    a hash of its messages, and each half that fails again, until the messages that fail by themselves are left: only they become
+    dead letters, with the number of retries. Each batch writes to a folder of its own, overwritten when it is
     run again after a lost executor or driver, so nothing is doubled.
     """
 
+    def once(part: DataFrame) -> tuple[DataFrame | None, str]:
+        try:
+            return materialize(handle(part), "handled"), ""
+        except Exception as e:  # noqa: BLE001 - any failure of the handler counts as an attempt
+            return None, type(e).__name__
+
+    def halves(part: DataFrame, depth: int) -> tuple[list[DataFrame], list[DataFrame]]:
+        """(what the handler makes of the good messages, the dead letters) of a part that failed."""
+        done: list[DataFrame] = []
+        dead: list[DataFrame] = []
+        bit = F.shiftrightunsigned(F.col("_hash"), depth).bitwiseAND(1)
+        for half in (part.filter(bit == 0), part.filter(bit == 1)):
+            found = half.limit(2).count()
+            if not found:
+                continue
+            result, error = once(half.drop("_hash"))
+            if result is not None:
+                done.append(result)
+            elif found == 1 or depth == 63:
+                dead.append(dead_letters(half.drop("_hash").withColumn("error", F.lit(error)), max_retries))
+            else:
+                d, x = halves(half, depth + 1)
+                done += d
+                dead += x
+        return done, dead
+
     def batch(df: DataFrame, number: int) -> None:
         decoded = decode(df)
         good = decoded.filter("error IS NULL")
         bad = dead_letters(decoded)
+        result, _ = once(good)
         for attempt in range(1, max_retries + 1):
-            try:
-                handle(good).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            if result is not None:
                 break
-            except Exception as e:  # noqa: BLE001 - any failure of the handler counts as an attempt
-                if attempt == max_retries:
-                    failed = dead_letters(good.withColumn("error", F.lit(f"{type(e).__name__}")), attempt)
-                    bad = bad.unionByName(failed)
-                else:
-                    sleep(backoff(attempt, jitter))
+            sleep(backoff(attempt, jitter))
+            result, _ = once(good)
+        if result is not None:
+            done, dead = [result], []
+        else:
+            done, dead = halves(materialize(good.withColumn("_hash", F.xxhash64("stream", "batch_no", "event_id", "data")), "failed"), 0)
+        for part in dead:
+            bad = bad.unionByName(part)
+        if done:
+            whole = done[0]
+            for part in done[1:]:
+                whole = whole.unionByName(part)
+            whole.write.mode("overwrite").parquet(f"{out}/batch={number}")
         bad.write.mode("overwrite").parquet(f"{letters}/batch={number}")
 
     query = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -137,7 +172,6 @@ def dedup_stage(docs: DataFrame, store: str, out: str, checkpoint: str, key: str
     that is run again replaces its own.
     """
     from tailrace.operators import dedup
-    from tailrace.session import materialize
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession

@@ -113,8 +113,13 @@ def test_sample(spark):
     assert ops.stratified_sample(inc, silver, 99).count() == 20
 
 
-def test_annotate_keeps_other_annotators(spark):
-    labels = spark.createDataFrame([("1", "dns", "human", "a", 1.0), ("1", "dns", "human", "b", 1.0), ("1", "dns", "weak", "w", 0.5)], LABEL + ", confidence double")
+def test_annotate_replaces_human_labels_only(spark):
+    labels = spark.createDataFrame([("1", "dns", "human", "a", 1.0), ("1", "dns", "human", "b", 1.0), ("1", "dns", "weak", "w", 0.5), ("2", "dns", "human", "a", 1.0)], LABEL + ", confidence double")
     dec = spark.createDataFrame([("1", "a", [])], "incident_id string, annotator_id string, labels array<string>")
-    got = {(r["annotator_id"], r["label"]) for r in ops.annotate(labels, dec).collect()}
-    assert got == {("b", "dns"), ("a", "__reviewed__")}
+    got = {(r["incident_id"], r["annotator_id"], r["label"], r["source"]) for r in ops.annotate(labels, dec).collect()}
+    assert got == {("1", "a", "__reviewed__", "human"), ("1", "w", "dns", "weak"), ("2", "a", "dns", "human")}
+
+
+def test_votes_look_at_summary_and_title_apart(spark):
+    df = spark.createDataFrame([("1", "error rose", "the team changed config", [])], INCIDENT)
+    assert not [r for r in ops.keyword_votes(df).collect() if r["label"] == "config-change" and r["positive"]]

@@ -111,12 +111,20 @@ def test_stage_retries_and_dead_letters(spark, tmp_path):
 
     bus.run_stage(bus.stream_of(spark, path), fail, f"{tmp_path}/out", f"{tmp_path}/dlq", f"{tmp_path}/cp", sleep=waits.append, jitter=lambda: 0.0)
     letters = {r["event_id"]: (r["error"], r["attempts"]) for r in spark.read.parquet(f"{tmp_path}/dlq").collect()}
-    assert letters == {"1": ("RuntimeError", 3), "2": ("parse_error", 0)} and waits == [1.0, 2.0]
+    assert letters == {"1": ("RuntimeError", 3), "2": ("parse_error", 0)} and waits == [1.0, 2.0, 4.0]
     bus.run_stage(bus.stream_of(spark, path), lambda g: g.select("event_id"), f"{tmp_path}/out2", f"{tmp_path}/dlq2", f"{tmp_path}/cp2")
     assert [r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out2").collect()] == ["1"]
     assert bus.letter_depth(spark.read.parquet(f"{tmp_path}/dlq2")).head()["n"] == 1
 
 
+def test_only_the_failing_message_is_a_dead_letter(spark, tmp_path):
+    path = _bus(spark, tmp_path, [_message(str(i), i, 1) for i in range(9)])
+    waits = []
+    bus.run_stage(bus.stream_of(spark, path), lambda g: g.select(F.when(F.col("event_id") == "5", F.raise_error(F.lit("poison")).cast("string")).otherwise(F.col("event_id")).alias("event_id")), f"{tmp_path}/out", f"{tmp_path}/dlq", f"{tmp_path}/cp", max_retries=2, sleep=waits.append, jitter=lambda: 0.0)
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [str(i) for i in range(9) if i != 5]
+    assert [(r["event_id"], r["attempts"]) for r in spark.read.parquet(f"{tmp_path}/dlq").collect()] == [("5", 2)] and waits == [1.0, 2.0]
+
+
 def test_stream_dedup_equals_batch(spark, tmp_path):
     rng = random.Random(5)
     texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(120)) for _ in range(12)]
@@ -187,7 +195,7 @@ def test_export(spark, tmp_path):
     rows = [("1", "d", "o", "t", None, dt.date(2024, 1, 2), 1, "full", [("Impact", "x")], "h2", "mit"), ("2", "e", "o", "t", "u", None, None, "hidden", None, "h1", "all-rights-reserved")]
     df = spark.createDataFrame(rows, schema)
     got = {r["id"]: r for r in export.export_rows(df).collect()}
-    assert got["1"]["full_text"] == "full" and got["1"]["date"] == "2024-01-02" and got["1"]["sections"] == '["Impact"]'
+    assert got["1"]["full_text"] == "full" and got["1"]["date"] == "2024-01-02" and got["1"]["sections"] == '[{"name":"Impact","text":"x"}]'
     assert got["2"]["full_text"] == "" and got["2"]["severity"] == -1 and got["2"]["sections"] == "[]" and len(got["1"]) == 10
     a = export.manifest(export.export_rows(df)).head()
     b = export.manifest(export.export_rows(df.orderBy(F.desc("id")).repartition(3))).head()
