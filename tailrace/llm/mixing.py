@@ -9,8 +9,10 @@ the rest of the rate. No shuffle carries a text.
 from __future__ import annotations
 
 import base64
+import os
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,11 @@ _ENCODERS: dict = {}
 
 
 def encoder(path: str):
-    """The tokenizer whose ranks ``path`` holds, once per process."""
+    """The tokenizer whose ranks ``path`` holds, once per process; on executors the file that was sent with the job stands in for a path that isn't there."""
     if path not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path]
@@ -45,6 +47,8 @@ def _count(path: str):
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``doc_id, source, tokens`` of every row; a null text has no tokens."""
+    if os.path.exists(path):
+        docs.sparkSession.sparkContext.addFile(path)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(_count(path), "doc_id bigint, source string, tokens bigint")
 
 
