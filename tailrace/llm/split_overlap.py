@@ -18,13 +18,15 @@ pair is lost. Equal records are one class throughout. No text is shuffled but th
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailrace.llm.words import K, likeness, shingle_hashes, text_digest, words
+from tailrace.llm.words import K, shingle_hashes, text_digest, words
 from tailrace.session import materialize, small
 
 WINDOW = 12
@@ -83,14 +85,32 @@ def grains(ws: list[str], least: float) -> list[tuple[int, list[int], list[int],
 
 def overlap_of(a: list[str], b: list[str], least: float) -> float:
     """Lengths of the chunks two records share, as a fraction of the longer one, at the finest grain both have; 0 if they have none in common."""
-    x, y = {g: v for g, *v in grains(a, least)}, {g: v for g, *v in grains(b, least)}
+    return _shared(_by_grain(a, least), _by_grain(b, least))
+
+
+def _by_grain(ws: list[str], least: float) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
+    out = {}
+    for g, h, n, size in grains(ws, least):
+        order = np.argsort(np.array(h, dtype=np.int64))
+        out[g] = (np.array(h, dtype=np.int64)[order], np.array(n, dtype=np.int64)[order], size)
+    return out
+
+
+def _shared(x: dict, y: dict) -> float:
     for g in (FINE, COARSE):
         if g in x and g in y:
-            n = dict(zip(*x[g][:2]))
-            return sum(min(n.get(h, 0), m) for h, m in zip(*y[g][:2])) / max(x[g][2], y[g][2])
+            _, i, j = np.intersect1d(x[g][0], y[g][0], assume_unique=True, return_indices=True)
+            return int(np.minimum(x[g][1][i], y[g][1][j]).sum()) / max(x[g][2], y[g][2])
     return 0.0
 
 
+@lru_cache(maxsize=1024)
+def _prepared(text: str, least: float) -> tuple[dict, np.ndarray]:
+    """A candidate's chunks and its distinct runs: it may stand in several pairs of a batch."""
+    ws = text.split(" ")
+    return _by_grain(ws, least), np.unique(shingle_hashes(ws))
+
+
 def _cut(least: float):
     """Each record's digest and chunks; records of fewer than five words have none and are left out."""
 
@@ -120,13 +140,14 @@ def _normalise(batches):
 def _compare(least: float, overlap: float):
     def run(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "text_a", "text_b"))
+            a, b, texts_a, texts_b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "text_a", "text_b"))
             rows = []
-            for d, e, p, q in zip(a, b, x, y):
-                p, q = p.split(" "), q.split(" ")
-                shared = overlap_of(p, q, least)
+            for d, e, p, q in zip(a, b, texts_a, texts_b):
+                (x, runs), (y, others) = _prepared(p, least), _prepared(q, least)
+                shared = _shared(x, y)
                 if shared >= overlap:
-                    alike = likeness(p, q)
+                    both = len(np.intersect1d(runs, others, assume_unique=True))
+                    alike = both / (len(runs) + len(others) - both)
                     if alike >= least:
                         rows.append((d, e, shared, alike))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.string(), pa.string(), pa.float64(), pa.float64()))], ["a", "b", "overlap", "likeness"])
