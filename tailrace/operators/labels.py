@@ -164,3 +164,9 @@ def kappa_band(x: Column) -> Column:
     for low, name in KAPPA_BANDS[1:]:
         out = out.when(x >= low, name)
     return F.when(F.isnan(x), "Poor").otherwise(out.otherwise("Poor"))
+
+
+def agreement_report(labels: DataFrame) -> DataFrame:
+    """``label, n, kappa, grade, units, alpha``: Cohen's kappa of each label with its verbal grade, beside Krippendorff's alpha over all of them."""
+    per = cohens_kappa(labels).select("label", "n", "kappa", kappa_band(F.col("kappa")).alias("grade"))
+    return per.crossJoin(F.broadcast(krippendorff_alpha(labels)))  # one row

@@ -114,13 +114,22 @@ def cohens_kappa(spark, d):
     return ops.cohens_kappa(table(spark, d, "incident_labels"))
 
 
-@query(f"""WITH {DOUBLY}, u AS (SELECT m, (SELECT count(DISTINCT a) FROM sets s WHERE s.incident_id = dbl.incident_id AND s.label = tax.label)::DOUBLE AS y FROM dbl CROSS JOIN tax),
- g AS (SELECT count(*) AS units, sum(y * (m - y) / (m - 1)) AS dd, sum(y) AS o, sum(m) AS v FROM u)
- SELECT units, round(1 - (dd / units) / (2 * o * (v - o) / (v * (v - 1))), 6) AS alpha FROM g""")
+ALPHA = """u AS (SELECT m, (SELECT count(DISTINCT a) FROM sets s WHERE s.incident_id = dbl.incident_id AND s.label = tax.label)::DOUBLE AS y FROM dbl CROSS JOIN tax),
+ ga AS (SELECT count(*) AS units, sum(y * (m - y) / (m - 1)) AS dd, sum(y) AS o, sum(m) AS v FROM u),
+ alpha AS (SELECT units, round(1 - (dd / units) / (2 * o * (v - o) / (v * (v - 1))), 6) AS alpha FROM ga)"""
+GRADE = "CASE WHEN kappa >= 0.8 THEN 'Almost perfect' WHEN kappa >= 0.6 THEN 'Substantial' WHEN kappa >= 0.4 THEN 'Moderate' WHEN kappa >= 0.2 THEN 'Fair' WHEN kappa >= 0 THEN 'Slight' ELSE 'Poor' END"
+
+
+@query(f"WITH {DOUBLY}, {ALPHA} SELECT units, alpha FROM alpha")
 def krippendorff_alpha(spark, d):
     return ops.krippendorff_alpha(table(spark, d, "incident_labels"))
 
 
-@query(f"WITH {KAPPA} SELECT label, CASE WHEN kappa >= 0.8 THEN 'Almost perfect' WHEN kappa >= 0.6 THEN 'Substantial' WHEN kappa >= 0.4 THEN 'Moderate' WHEN kappa >= 0.2 THEN 'Fair' WHEN kappa >= 0 THEN 'Slight' ELSE 'Poor' END AS grade FROM kap")
+@query(f"WITH {KAPPA}, {ALPHA} SELECT label, n, kappa, {GRADE} AS grade, units, alpha FROM kap CROSS JOIN alpha")
+def agreement(spark, d):
+    return ops.agreement_report(table(spark, d, "incident_labels"))
+
+
+@query(f"WITH {KAPPA} SELECT label, {GRADE} AS grade FROM kap")
 def kappa_bands(spark, d):
     return ops.cohens_kappa(table(spark, d, "incident_labels")).select("label", ops.kappa_band(F.col("kappa")).alias("grade"))
