@@ -186,3 +186,29 @@ def test_copies_of_a_cut_text(spark):
     more = [(10_000 + i, hot, "s") for i in range(450)]
     got = {r["doc_id"] for r in truncation.truncated(spark.createDataFrame(rows + more, DOC)).collect()}
     assert {i for i, _, _ in more} <= got and len(got & cut) >= 0.95 * len(cut)
+
+
+def test_cuts_at_the_same_words(spark):
+    """In large tables many texts are cut at the same words or in the same number; that doesn't make these an ending."""
+    rows, _ = texts()
+    r = h.rng(23)
+    story = "For background, the northgate serves 482,113 readers from the hall. Next time the desk has to move over."
+    rows += [(20_000 + i, " ".join([h.report(r, 2), *[story] * 8, h.report(r, 1)]), "s") for i in range(250)]
+    ways = {
+        "number": story[: story.index("82,113")],
+        "number after a comma": story[: story.index("113")],
+        "first word": story[: story.index(" time")],
+        "second word": story[: story.index(" the desk")],
+        "before the stop": story[:-1],
+        "piece": "For background, the northg",
+        "piece with a mark": "For background, the northg (more)",
+    }
+    cut = {w: {30_000 + 100 * k + i for i in range(8)} for k, w in enumerate(ways)}
+    for w, end in ways.items():
+        rows += [(i, f"{h.report(r, r.randrange(2, 9))} {end}", "s") for i in cut[w]]
+    cut["one short line"] = {40_000 + i for i in range(8)}
+    rows += [(40_000 + i, f"F{'o' * i}r background, the northgate serves", "s") for i in range(8)]
+    whole = set(range(50_000, 50_060))
+    rows += [(i, h.report(r, r.randrange(2, 9)) + ("\nThanks for reading", f"\nTicket northgate/{r.randrange(1, 900)}", "\nReported by the desk")[i % 3], "s") for i in whole]
+    got = {x["doc_id"] for x in truncation.truncated(spark.createDataFrame(rows, DOC)).collect()}
+    assert {w: len(v - got) for w, v in cut.items() if v - got} == {} and not whole & got
